@@ -37,6 +37,11 @@ def remove_stop_words(tokens, words: tuple[str, ...] | None = None) -> Column:
     return F.filter(col(tokens), lambda x: ~x.isin(words))
 
 
+def _gram_at(t: Column, n: int):
+    # one-argument lambda: PySpark passes (element, index) to two-argument ones
+    return lambda i: F.array_join(F.slice(t, i, n), " ")
+
+
 def ngrams(tokens, lo: int = 1, hi: int = 1) -> Column:
     """All n-grams for n in [lo, hi], space-joined, in position order."""
     t = col(tokens)
@@ -45,8 +50,7 @@ def ngrams(tokens, lo: int = 1, hi: int = 1) -> Column:
         if n == 1:
             parts.append(t)
         else:
-            grams = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1),
-                                lambda i, n=n: F.array_join(F.slice(t, i, n), " "))
+            grams = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), _gram_at(t, n))
             parts.append(F.when(F.size(t) >= n, grams)
                          .otherwise(F.array().cast("array<string>")))
     return parts[0] if len(parts) == 1 else F.flatten(F.array(*parts))
@@ -60,11 +64,26 @@ def vocabulary(arr) -> Column:
 
 def ngram_text(text, lo: int = 1, hi: int = 1,
                words: tuple[str, ...] | None = None) -> Column:
-    """X1→X2→X3→X4→A8: the key-concept candidate list of one text."""
+    """X1→X2→X3→X4→A8 as one expression.  Only for unigrams or short texts:
+    lambdas re-evaluate captured expressions per element, so for n > 1 use
+    ``with_ngram_text``, which materialises the token array first."""
     toks = remove_stop_words(word_tokens(preprocess_text(text)), words)
     return vocabulary(ngrams(toks, lo, hi))
 
 
+def with_ngram_text(df, text: str, out: str, lo: int = 1, hi: int = 1,
+                    words: tuple[str, ...] | None = None):
+    """DataFrame form of ``ngram_text``: tokens, then n-grams, then the sorted
+    distinct vocabulary, each in its own projection.  The staged columns are
+    referenced more than once, so Catalyst keeps the projections apart and the
+    tokeniser runs once per row."""
+    tok, grams = f"__{out}_tok", f"__{out}_grams"
+    return (df.withColumn(tok, remove_stop_words(word_tokens(preprocess_text(text)), words))
+            .withColumn(grams, F.array_sort(F.array_distinct(ngrams(F.col(tok), lo, hi))))
+            .withColumn(out, F.when(F.size(grams) > 0, F.col(grams)))
+            .drop(tok, grams))
+
+
 def sentences(c, collapse_whitespace: bool = False) -> Column:
     """Sentence split on end punctuation, trimmed, empties dropped."""
     def clean(s):
