@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import compute_once
 from ..session import ensure_checkpoint_dir
 
 PAD_ID = 0
@@ -94,7 +95,7 @@ def split_segments(df: DataFrame, ids: str = "ids", sep: int = 102, n_sep: int =
     length with zeros; masks are 0 on tokens and 1 on padding.  Returns
     ``(segments, rejects)``; a row whose separator count is not ``n_sep`` is a
     reject (the reference asserts)."""
-    with_sep = df.withColumn("_seps", separator_positions(ids, sep))
+    with_sep = compute_once(df, _seps=separator_positions(ids, sep))
     good = with_sep.where(F.size("_seps") == n_sep)
     rejects = with_sep.where(F.size("_seps") != n_sep) \
         .select(key, F.size("_seps").cast("bigint").alias("n_separators"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.columns import compute_once
 from ..sources.tables import table
 
 SPLIT_SQL = ("CASE WHEN {k} % 10 < 8 THEN 'train' WHEN {k} % 10 = 8 "
@@ -28,8 +29,7 @@ def split_of(key) -> F.Column:
 # --------------------------------------------------------------------------
 def mc_items(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    snt = docs.select("doc_id", "text",
-                      tx.sentences("text", collapse_whitespace=True).alias("snt"))
+    snt = compute_once(docs, snt=tx.sentences("text", collapse_whitespace=True))
     letter = F.when(F.col("doc_id") % 7 == 0, 4).otherwise(F.col("doc_id") % 4)
     return (snt.where(F.size("snt") >= 5)
             .select(F.col("doc_id").alias("example_id"),
@@ -189,8 +189,9 @@ def words_of(c) -> F.Column:
 
 
 def token_rows(spark: SparkSession, sf: str, cls: int = 101, sep: int = 102) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", words_of("text").alias("w"))
-    ids = F.transform("w", lambda x: F.least(F.length(x), F.lit(99)))
+    d = compute_once(table(spark, sf, "documents").select("doc_id", "text"),
+                     w=words_of("text")).drop("text")
+    ids = F.transform(F.slice("w", 1, 8), lambda x: F.least(F.length(x), F.lit(99)))
     body = d.where(F.size("w") >= 4).select("doc_id", ids.alias("t"))
     last = F.when(F.col("doc_id") % 9 == 0, F.array().cast("array<int>")) \
         .otherwise(F.array(F.lit(sep)))
