@@ -28,7 +28,12 @@ def split_of(key) -> F.Column:
 # mc_items: one wide multiple-choice item per document with >= 5 sentences
 # --------------------------------------------------------------------------
 def mc_items(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return mc_items_from(table(spark, sf, "documents"))
+
+
+def mc_items_from(documents: DataFrame) -> DataFrame:
+    """The item derivation on any documents frame (batch or streaming)."""
+    docs = documents.select("doc_id", "text")
     snt = compute_once(docs, snt=tx.sentences("text", collapse_whitespace=True))
     letter = F.when(F.col("doc_id") % 7 == 0, 4).otherwise(F.col("doc_id") % 4)
     return (snt.where(F.size("snt") >= 5)

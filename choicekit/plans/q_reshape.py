@@ -288,3 +288,24 @@ def q_dedup_keep_first(spark, sf):
     _, _, _, contexts = _parts(spark, sf)
     d = J.dedup_keep_first(contexts, "key", "row_id")
     return d.select("key", "row_id", F.length("translated_context").alias("context_chars"))
+
+
+# ---------------------------------------------------------------- streaming
+@register("stream_binarise", with_ctes("mc_items") + f"""
+SELECT example_id, split, CAST(pos AS BIGINT) AS choice_idx, question, opt AS answer,
+       article AS context, CAST(CASE WHEN pos = {LETTER_SQL} THEN 1 ELSE 0 END AS INTEGER)
+         AS correct
+FROM {UNNEST_OPTIONS}""")
+def q_stream_binarise(spark, sf):
+    """The build steps as a Structured Streaming query over the documents
+    files (available-now trigger), read back from its exactly-once sink."""
+    from ..session import shared_dir
+    from ..streaming.incremental import start_file_stream
+    from .fixtures import mc_items_from
+
+    out = shared_dir(spark, "stream")
+    q = start_file_stream(spark, sf, "documents.parquet",
+                          lambda docs: R.binarise_by_letter(mc_items_from(docs)),
+                          f"{out}/data", f"{out}/checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/data")
