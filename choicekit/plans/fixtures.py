@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.columns import compute_once
-from ..sources.tables import table
+from ..sources.tables import documents, table
 
 SPLIT_SQL = ("CASE WHEN {k} % 10 < 8 THEN 'train' WHEN {k} % 10 = 8 "
              "THEN 'validation' ELSE 'test' END")
@@ -28,7 +28,7 @@ def split_of(key) -> F.Column:
 # mc_items: one wide multiple-choice item per document with >= 5 sentences
 # --------------------------------------------------------------------------
 def mc_items(spark: SparkSession, sf: str) -> DataFrame:
-    return mc_items_from(table(spark, sf, "documents"))
+    return mc_items_from(documents(spark, sf, "doc_id", "text"))
 
 
 def mc_items_from(documents: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def words_of(c) -> F.Column:
 
 
 def token_rows(spark: SparkSession, sf: str, cls: int = 101, sep: int = 102) -> DataFrame:
-    d = compute_once(table(spark, sf, "documents").select("doc_id", "text"),
+    d = compute_once(documents(spark, sf, "doc_id", "text"),
                      w=words_of("text")).drop("text")
     ids = F.transform(F.slice("w", 1, 8), lambda x: F.least(F.length(x), F.lit(99)))
     body = d.where(F.size("w") >= 4).select("doc_id", ids.alias("t"))

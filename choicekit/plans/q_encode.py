@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import encode as N
-from ..sources.tables import table
+from ..sources.tables import documents
 from . import sqltext as S
 from .fixtures import token_rows, vector_groups, with_ctes, words_of
 from .registry import register
@@ -27,7 +27,7 @@ FROM tok LEFT JOIN enc ON tok.doc_id = enc.doc_id""")
 def q_vocab_encode(spark, sf):
     """Vocabulary learnt on English documents, applied to all documents;
     words never seen in English text encode as the unknown id."""
-    docs = table(spark, sf, "documents").select(
+    docs = documents(spark, sf, "doc_id", "lang", "text").select(
         "doc_id", "lang", tx.word_tokens(tx.preprocess_text("text")).alias("tokens"))
     vocab = N.build_vocabulary(docs.where(F.col("lang") == "en"))
     enc = N.encode_tokens(docs, vocab, "doc_id")
@@ -45,7 +45,7 @@ FROM (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '[ \
       FROM documents)""")
 def q_pad_truncate_mask(spark, sf):
     lens = F.transform(words_of("text"), lambda w: F.least(F.length(w), F.lit(99)))
-    d = table(spark, sf, "documents").select("doc_id", lens.alias("t"))
+    d = documents(spark, sf, "doc_id", "text").select("doc_id", lens.alias("t"))
     return d.select("doc_id", F.array_join(N.pad_truncate("t", PAD_LEN), " ").alias("ids"),
                     F.array_join(N.attention_mask("t", PAD_LEN), " ").alias("mask"))
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..sources.tables import table
+from ..sources.tables import documents
 from . import sqltext as S
 from .fixtures import entities, mc_items, with_ctes
 from .registry import register
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return documents(spark, sf, "doc_id", "text")
 
 
 @register("preprocess_text", f"SELECT doc_id, {S.preprocess('text')} AS clean FROM documents")
