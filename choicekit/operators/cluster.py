@@ -74,7 +74,9 @@ def kmeans_grouped(points: DataFrame, k: int, max_iter: int = 10, key: str = "do
     centre_sim``.  Deterministic (seeded by the lowest items)."""
     spark = points.sparkSession
     ensure_checkpoint_dir(spark)
-    p = prepare(points, key, item, vec)
+    # the points are read by every step: materialise them once (reliable
+    # checkpoint in shared storage, survives executor loss)
+    p = prepare(points, key, item, vec).checkpoint()
     centres = seed_centres(p, k, key, item)
     for step in range(max_iter):
         centres = update_centres(assign(p, centres, key), centres, key)

@@ -172,8 +172,9 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 def run_metrics(spark: SparkSession, sf: str, epochs: int = 20) -> DataFrame:
     ev = table(spark, sf, "events").select("event_id", "ts", "user_id", "value")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    ranked = ev.withColumn("epoch", (F.row_number().over(w) - 1).cast("bigint")) \
-        .where(F.col("epoch") < epochs)
+    # filter on the rank itself so Spark plans a map-side partial group limit
+    ranked = ev.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= epochs) \
+        .withColumn("epoch", (F.col("_rn") - 1).cast("bigint")).drop("_rn")
     return ranked.select(
         F.col("user_id").alias("run_id"), "epoch",
         F.col("value").alias("val_loss"),
