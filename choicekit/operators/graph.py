@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 EDGE = ("relation", "weight")
 
 
@@ -58,13 +60,23 @@ def two_hop(kg: DataFrame, pairs: DataFrame, target_lang: str | None = None) ->
     -> target (any language).  Middle nodes are de-duplicated (best edge per
     hop), so a path is one row per (word, middle, target)."""
     hop1 = one_hop(kg, pairs, target_lang).select("word", "target")
-    open_pairs = pairs.join(hop1, ["word", "target"], "left_anti")
-    first = best_edges(kg, "en", "en").select(
-        F.col("start_text").alias("word"), F.col("end_text").alias("middle"),
-        F.col("relation").alias("relation_1"), F.col("weight").alias("weight_1"))
+    # the open pairs feed three joins below: materialise them once (reliable
+    # checkpoint in the shared checkpoint folder; the asked pairs are small)
+    ensure_checkpoint_dir(kg.sparkSession)
+    open_pairs = pairs.join(hop1, ["word", "target"], "left_anti").checkpoint()
+    # semi-join reductions before the path join: second hops only into wanted
+    # targets, first hops only from asked words into middles that have such a
+    # second hop.  The (word, target, middle) intermediate then holds only
+    # edges that can lie on a wanted path, instead of targets x neighbours.
     second = best_edges(kg, "en", target_lang).select(
         F.col("start_text").alias("middle"), F.col("end_text").alias("target"),
-        F.col("relation").alias("relation_2"), F.col("weight").alias("weight_2"))
+        F.col("relation").alias("relation_2"), F.col("weight").alias("weight_2")) \
+        .join(open_pairs.select("target").distinct(), "target", "left_semi")
+    first = best_edges(kg, "en", "en").select(
+        F.col("start_text").alias("word"), F.col("end_text").alias("middle"),
+        F.col("relation").alias("relation_1"), F.col("weight").alias("weight_1")) \
+        .join(open_pairs.select("word").distinct(), "word", "left_semi") \
+        .join(second.select("middle").distinct(), "middle", "left_semi")
     return open_pairs.join(first, "word").join(second, ["middle", "target"]) \
         .select("word", "middle", "target", "relation_1", "weight_1", "relation_2", "weight_2")
 
