@@ -57,14 +57,14 @@ def build_vocabulary(tokens: DataFrame, token_array: str = "tokens") -> DataFram
 def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, token_array: str = "tokens",
                   out: str = "ids") -> DataFrame:
     """Replace every token by its id (unknown -> 1), keeping token order."""
-    exploded = df.select(key, F.posexplode(token_array).alias("pos", "token"))
+    # posexplode_outer keeps rows without tokens (one null row each), so no
+    # join back to the input is needed; collect_list skips the null entries
+    exploded = df.select(key, F.posexplode_outer(token_array).alias("pos", "token"))
     coded = exploded.join(vocab.select("token", "id"), "token", "left") \
         .withColumn("id", F.coalesce(F.col("id"), F.lit(UNKNOWN_ID)).cast("bigint"))
-    ordered = coded.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_s"))
-    empty = df.select(key).join(ordered, key, "left")
-    return empty.select(key, F.coalesce(F.col("_s.id"), F.array().cast("array<bigint>"))
-                        .alias(out))
+    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "id"))
+    ordered = coded.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_s"))
+    return ordered.select(key, F.col("_s.id").cast("array<bigint>").alias(out))
 
 
 def pad_truncate(arr, length: int, pad: int = PAD_ID) -> Column:
