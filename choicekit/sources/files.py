@@ -57,9 +57,10 @@ def write_stage(df: DataFrame, path: str, partition_by: str | None = None) -> st
     return path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to a fresh folder under the shared checkpoint dir and
-    return the re-read frame."""
+    return the re-read frame (partition column last, as Parquet discovery
+    returns it)."""
     spark = df.sparkSession
-    path = write_stage(df, shared_dir(spark, name))
+    path = write_stage(df, shared_dir(spark, name), partition_by)
     return spark.read.parquet(path)
