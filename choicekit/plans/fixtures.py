@@ -118,19 +118,22 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("p_partkey") % 500).alias("vec_id"))
 
 
+ENTITY_QUERY_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
 def entity_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """Concepts to look up, one per order: the name of the part on its first
-    line; orders whose key is divisible by 13 ask for an unknown concept."""
-    li = table(spark, sf, "lineitem").where(F.col("l_linenumber") == 1) \
-        .select("l_orderkey", "l_partkey")
+    """Concepts to look up, one per line item: the name of its part (lines of
+    orders whose key is divisible by 13 ask for a concept that is not in the
+    entity table); the pivot vector is chosen by the line."""
+    li = table(spark, sf, "lineitem").select(*ENTITY_QUERY_KEY)
     part = table(spark, sf, "part").select("p_partkey", "p_name")
     return (li.join(part, li.l_partkey == part.p_partkey)
-            .groupBy("l_orderkey").agg(F.min("p_name").alias("p_name"))
-            .select(F.col("l_orderkey").alias("query_id"),
+            .select(*ENTITY_QUERY_KEY,
                     F.when(F.col("l_orderkey") % 13 == 0,
                            F.concat(F.col("p_name"), F.lit(" unknown")))
                     .otherwise(F.col("p_name")).alias("concept"),
-                    (F.col("l_orderkey") % 500).alias("pivot_vec_id")))
+                    ((F.col("l_orderkey") + F.col("l_linenumber")) % 500)
+                    .alias("pivot_vec_id")))
 
 
 # --------------------------------------------------------------------------
@@ -169,12 +172,11 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 # --------------------------------------------------------------------------
 # run_metrics: per-run, per-epoch validation metrics from the event stream
 # --------------------------------------------------------------------------
-def run_metrics(spark: SparkSession, sf: str, epochs: int = 20) -> DataFrame:
+def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event of a user is one epoch of that user's run, in time order."""
     ev = table(spark, sf, "events").select("event_id", "ts", "user_id", "value")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    # filter on the rank itself so Spark plans a map-side partial group limit
-    ranked = ev.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= epochs) \
-        .withColumn("epoch", (F.col("_rn") - 1).cast("bigint")).drop("_rn")
+    ranked = ev.withColumn("epoch", (F.row_number().over(w) - 1).cast("bigint"))
     return ranked.select(
         F.col("user_id").alias("run_id"), "epoch",
         F.col("value").alias("val_loss"),
@@ -185,7 +187,7 @@ def run_metrics(spark: SparkSession, sf: str, epochs: int = 20) -> DataFrame:
 
 
 # --------------------------------------------------------------------------
-# token_rows: [CLS] a a a [SEP] b b b b b [SEP] with word-length token ids
+# token_rows: [CLS] a a a [SEP] b b ... b [SEP] with word-length token ids
 # --------------------------------------------------------------------------
 WORD_SPLIT = r"[ \t\n\r]+"
 
@@ -197,13 +199,14 @@ def words_of(c) -> F.Column:
 def token_rows(spark: SparkSession, sf: str, cls: int = 101, sep: int = 102) -> DataFrame:
     d = compute_once(documents(spark, sf, "doc_id", "text"),
                      w=words_of("text")).drop("text")
-    ids = F.transform(F.slice("w", 1, 8), lambda x: F.least(F.length(x), F.lit(99)))
+    ids = F.transform("w", lambda x: F.least(F.length(x), F.lit(99)))
     body = d.where(F.size("w") >= 4).select("doc_id", ids.alias("t"))
     last = F.when(F.col("doc_id") % 9 == 0, F.array().cast("array<int>")) \
         .otherwise(F.array(F.lit(sep)))
+    # first segment: the first three words; second: every remaining word
     return body.select("doc_id", F.concat(F.array(F.lit(cls)), F.slice("t", 1, 3),
-                                          F.array(F.lit(sep)), F.slice("t", 4, 5),
-                                          last).alias("ids"))
+                                          F.array(F.lit(sep)),
+                                          F.slice("t", 4, F.size("t")), last).alias("ids"))
 
 
 # ==========================================================================
@@ -261,13 +264,10 @@ SELECT p_partkey AS entity_id, p_name AS search_term,
 FROM part""")
 
 _sql("entity_queries", """
-SELECT l_orderkey AS query_id,
-       CASE WHEN l_orderkey % 13 = 0 THEN concat(min(p_name), ' unknown') ELSE min(p_name) END
-         AS concept,
-       l_orderkey % 500 AS pivot_vec_id
-FROM lineitem JOIN part ON l_partkey = p_partkey
-WHERE l_linenumber = 1
-GROUP BY l_orderkey""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       CASE WHEN l_orderkey % 13 = 0 THEN concat(p_name, ' unknown') ELSE p_name END AS concept,
+       (l_orderkey + l_linenumber) % 500 AS pivot_vec_id
+FROM lineitem JOIN part ON l_partkey = p_partkey""")
 
 _sql("vector_groups", """
 SELECT e.label AS doc_id, e.vec_id, e.embedding, e.vec_id = f.pivot_id AS is_pivot
@@ -290,12 +290,11 @@ SELECT user_id AS run_id, epoch, value AS val_loss, round(1 / (1 + value), 6) AS
        10 + event_id % 7 AS n, 'ckpt-' || user_id || '-' || epoch AS checkpoint
 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1
                      AS BIGINT) AS epoch
-      FROM events)
-WHERE epoch < 20""")
+      FROM events)""")
 
 _sql("token_rows", """
 SELECT doc_id,
-       [101] || t[1:3] || [102] || t[4:8] ||
+       [101] || t[1:3] || [102] || t[4:] ||
        CASE WHEN doc_id % 9 = 0 THEN []::INTEGER[] ELSE [102] END AS ids
 FROM (SELECT doc_id, list_transform(w, lambda x: CAST(least(length(x), 99) AS INTEGER)) AS t
       FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'),

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from ..operators import entities as E
 from ..sources.tables import table
-from .fixtures import entities, entity_queries, with_ctes
+from .fixtures import ENTITY_QUERY_KEY, entities, entity_queries, with_ctes
 from .registry import register
 
 _EK = """
@@ -31,12 +31,12 @@ sc AS (SELECT qd.concept, qd.pivot_vec_id, ek.entity_id, ek.knowledge,
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY concept, pivot_vec_id
                                                      ORDER BY sim DESC, entity_id) AS r
                         FROM sc) WHERE r = 1)
-SELECT q.query_id, b.entity_id, b.knowledge, b.sim
+SELECT q.l_orderkey, q.l_linenumber, q.l_partkey, q.l_suppkey, b.entity_id, b.knowledge, b.sim
 FROM entity_queries q LEFT JOIN best b
   ON q.concept = b.concept AND q.pivot_vec_id = b.pivot_vec_id""")
 def q_entity_best_match(spark, sf):
     return E.best_match(entity_queries(spark, sf), entities(spark, sf),
-                        table(spark, sf, "embeddings"))
+                        table(spark, sf, "embeddings"), key=ENTITY_QUERY_KEY)
 
 
 @register("entity_json", with_ctes("entities") + "," + _EK + """

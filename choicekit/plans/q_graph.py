@@ -81,12 +81,13 @@ def q_kg_link_pairs(spark, sf):
 
 
 def _substring_pairs(spark, sf):
-    return kg_pairs(spark, sf).select("word", F.substring("target", 1, 4).alias("target")) \
-        .distinct()
+    """Targets searched as substrings: the last word of each target name."""
+    return kg_pairs(spark, sf).select(
+        "word", F.element_at(F.split("target", " "), -1).alias("target")).distinct()
 
 
 @register("kg_substring_target", with_ctes("kg_edges", "kg_pairs") + """,
-sp AS (SELECT DISTINCT word, substr(target, 1, 4) AS target FROM kg_pairs),
+sp AS (SELECT DISTINCT word, string_split(target, ' ')[-1] AS target FROM kg_pairs),
 m AS (SELECT word, target, end_text AS match_end, relation AS match_relation,
              weight AS match_weight FROM (
         SELECT sp.word, sp.target, e.end_text, e.relation, e.weight,

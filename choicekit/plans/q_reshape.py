@@ -122,7 +122,7 @@ def q_regroup_choices(spark, sf):
                     F.col("n_choices").cast("bigint").alias("n_choices"))
 
 
-CHOICE_LEN = 8
+CHOICE_LEN = 60    # per-choice sequence length of the reference's COPA encoder
 
 
 def padded_word_lengths(c, length: int = CHOICE_LEN):
