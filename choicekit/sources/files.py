@@ -15,13 +15,20 @@ from pyspark.sql.types import StructType
 from ..functions import text as tx
 from ..session import shared_dir
 
-CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
+# Nulls are written as an explicit marker so that an empty string and a null
+# stay distinct through a round trip (a text equal to the marker reads as null).
+NULL_MARKER = "\\N"
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "nullValue": NULL_MARKER}
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", partition_by: str | None = None,
               mode: str = "overwrite") -> str:
     """Header, all fields quoted, no index column."""
-    w = df.write.mode(mode).options(**CSV_OPTIONS).option("sep", sep).option("quoteAll", "true")
+    w = (df.write.mode(mode).options(**CSV_OPTIONS).option("sep", sep)
+         .option("quoteAll", "true")
+         # the writer trims surrounding blanks unless told not to
+         .option("ignoreLeadingWhiteSpace", "false")
+         .option("ignoreTrailingWhiteSpace", "false"))
     if partition_by:
         w = w.partitionBy(partition_by)
     w.csv(path)
