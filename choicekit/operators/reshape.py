@@ -44,13 +44,13 @@ def binarise(df: DataFrame, options: str, correct_index: Column | str,
 
 def binarise_by_index(df, options="answers", correct_id="correct_answer_id",
                       question="question", context="context", keys=("example_id", "split")):
-    """QuAIL form (correct option given as an index)."""
+    """Index form (correct option given as a position)."""
     return binarise(df, options, correct_id, question, context, keys)
 
 
 def binarise_by_letter(df, options="options", letter="answer", question="question",
                        context="article", keys=("example_id", "split")):
-    """RACE form (letter A–D; other letters give no correct option)."""
+    """Letter form (A–D; other letters give no correct option)."""
     return binarise(df, options, letter_index(letter), question, context, keys)
 
 

@@ -11,7 +11,7 @@ from . import sqltext as S
 from .fixtures import token_rows, vector_groups, with_ctes, words_of
 from .registry import register
 
-PAD_LEN = 512      # sequence length of the reference's QuAIL encoder
+PAD_LEN = 512      # sequence length of the reference's longest encoder
 
 
 @register("vocab_encode", f"""

@@ -89,7 +89,7 @@ def q_choice_pairs(spark, sf):
     return R.choice_pairs(mc_items(spark, sf))
 
 
-def copa_items(spark, sf):
+def two_choice_items(spark, sf):
     """Two-choice items: premise, cause/effect question, two choices, label."""
     m = mc_items(spark, sf)
     return m.select("example_id", F.col("question").alias("premise"),
@@ -107,7 +107,7 @@ SELECT example_id, CAST(pos AS BIGINT) AS choice_idx,
 FROM (SELECT *, unnest([options[1], options[2]]) AS second, unnest(range(2)) AS pos
       FROM mc_items)""")
 def q_two_choice_pairs(spark, sf):
-    return R.two_choice_pairs(copa_items(spark, sf))
+    return R.two_choice_pairs(two_choice_items(spark, sf))
 
 
 @register("regroup_choices", with_ctes("mc_items") + f"""
@@ -122,7 +122,7 @@ def q_regroup_choices(spark, sf):
                     F.col("n_choices").cast("bigint").alias("n_choices"))
 
 
-CHOICE_LEN = 60    # per-choice sequence length of the reference's COPA encoder
+CHOICE_LEN = 60    # per-choice length of the reference's two-choice encoder
 
 
 def padded_word_lengths(c, length: int = CHOICE_LEN):
@@ -164,7 +164,7 @@ def q_flatten_options(spark, sf):
 
 
 # ---------------------------------------------------------------- U1-U3, S10
-def recores_rows(spark, sf):
+def flat_rows(spark, sf):
     """Flat rows in the third dataset's form (question, answer, context, correct)
     with its extra columns dropped in every split (B3)."""
     m = mc_items(spark, sf)
@@ -176,25 +176,25 @@ def recores_rows(spark, sf):
 
 @register("union_missing_columns", with_ctes("mc_items") + f"""
 SELECT * FROM (
-  SELECT 'quail' AS source, example_id, split, CAST(pos AS BIGINT) AS choice_idx, question,
+  SELECT 'indexed' AS source, example_id, split, CAST(pos AS BIGINT) AS choice_idx, question,
          opt AS answer, article AS context,
          CAST(CASE WHEN pos = correct_answer_id THEN 1 ELSE 0 END AS INTEGER) AS correct
   FROM {UNNEST_OPTIONS}
   UNION ALL BY NAME
-  SELECT 'race' AS source, example_id, split, CAST(pos AS BIGINT) AS choice_idx, question,
+  SELECT 'lettered' AS source, example_id, split, CAST(pos AS BIGINT) AS choice_idx, question,
          opt AS answer, article AS context,
          CAST(CASE WHEN pos = {LETTER_SQL} THEN 1 ELSE 0 END AS INTEGER) AS correct
   FROM {UNNEST_OPTIONS}
   UNION ALL BY NAME
-  SELECT 'recores' AS source, split, question, options[1] AS answer, article AS context,
+  SELECT 'flat' AS source, split, question, options[1] AS answer, article AS context,
          1 AS correct
   FROM mc_items)""")
 def q_union_missing_columns(spark, sf):
     m = mc_items(spark, sf)
     return R.union_by_name({
-        "quail": R.binarise_by_index(m, options="options", context="article"),
-        "race": R.binarise_by_letter(m),
-        "recores": recores_rows(spark, sf),
+        "indexed": R.binarise_by_index(m, options="options", context="article"),
+        "lettered": R.binarise_by_letter(m),
+        "flat": flat_rows(spark, sf),
     })
 
 
