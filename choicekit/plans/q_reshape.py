@@ -277,7 +277,7 @@ def q_join_deduped(spark, sf):
     left = m.select((F.col("example_id") % 50).alias("key"), "example_id")
     j = J.join_deduped(left, contexts, "key", "row_id")
     return j.select("key", "example_id", F.col("row_id").alias("context_row_id"),
-                    F.length("translated_context").alias("context_chars"))
+                    F.length("translated_context").cast("bigint").alias("context_chars"))
 
 
 @register("dedup_keep_first", with_ctes("mc_items") + """
@@ -287,7 +287,7 @@ FROM mc_items GROUP BY 1""")
 def q_dedup_keep_first(spark, sf):
     _, _, _, contexts = _parts(spark, sf)
     d = J.dedup_keep_first(contexts, "key", "row_id")
-    return d.select("key", "row_id", F.length("translated_context").alias("context_chars"))
+    return d.select("key", "row_id", F.length("translated_context").cast("bigint").alias("context_chars"))
 
 
 # ---------------------------------------------------------------- streaming
