@@ -43,7 +43,7 @@ reps AS (
 """
 
 
-def _with(*extra):
+def _with():
     return with_ctes("vector_groups").rstrip("\n") + ",\n" + _VEC
 
 

@@ -1,6 +1,4 @@
 """Reshape / join / union operators incl. the reference quirks B1–B3."""
-from pyspark.sql import functions as F
-
 from choicekit.operators import joins as J
 from choicekit.operators import reshape as R
 

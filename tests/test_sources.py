@@ -4,8 +4,6 @@ incremental file stream (exactly-once, resumes from its checkpoint)."""
 import io
 import contextlib
 
-from pyspark.sql import functions as F
-
 from choicekit.operators import reshape as R
 from choicekit.plans.fixtures import mc_items_from
 from choicekit.session import shared_dir

@@ -1,6 +1,4 @@
 """Text operators on literal edge cases (SURVEY FIXTURES 'Text edge cases')."""
-from pyspark.sql import functions as F
-
 from choicekit.functions import text as tx
 
 

@@ -1,8 +1,6 @@
 """Similarity, top-k ties (B14), k > n, cosine k-means properties."""
 import math
 
-from pyspark.sql import functions as F
-
 from choicekit.operators import cluster as C
 from choicekit.operators import similarity as V
 
