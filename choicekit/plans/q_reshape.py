@@ -165,9 +165,12 @@ def q_flatten_options(spark, sf):
 
 # ---------------------------------------------------------------- U1-U3, S10
 def flat_rows(spark, sf):
+    return flat_rows_of(mc_items(spark, sf))
+
+
+def flat_rows_of(m):
     """Flat rows in the third dataset's form (question, answer, context, correct)
     with its extra columns dropped in every split (B3)."""
-    m = mc_items(spark, sf)
     return m.select("split", "question", F.col("options")[0].alias("answer"),
                     F.col("article").alias("context"), F.lit(1).alias("correct"),
                     F.col("article").alias("text"), F.lit("given").alias("reason")) \
