@@ -44,6 +44,17 @@ def norm(v):
     return v
 
 
+SPARK_TO_DUCKDB = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                   "boolean": "BOOLEAN", "float": "FLOAT", "timestamp_ntz": "TIMESTAMP",
+                   "smallint": "SMALLINT", "date": "DATE"}
+
+
+def type_mismatches(scols, stypes, ocols, otypes):
+    ot = dict(zip(ocols, otypes))
+    return {c: (t, ot.get(c)) for c, t in zip(scols, stypes)
+            if SPARK_TO_DUCKDB.get(t, t) != ot.get(c)}
+
+
 def digest(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     keyed = sorted(repr(tuple(norm(r[i]) for i in order)) for r in rows)
@@ -99,6 +110,9 @@ def main() -> int:
             diff_o = [x for x in ko if x not in set(ks)][:3]
             print("   spark-only", [d[:300] for d in diff_s])
             print("   oracle-only", [d[:300] for d in diff_o])
+        tm = type_mismatches(scols, stypes, ocols, otypes)
+        if tm:
+            print(f"   type differences {k}: {tm}")
         if not ok or os.environ.get("SHOW_TYPES"):
             st = dict(zip(scols, stypes))
             ot = dict(zip(ocols, otypes))
