@@ -57,3 +57,14 @@ def test_json_round_trip_drops_self_edges(spark):
 
 def test_limit_per_word(spark):
     assert G.limit_per_word(kg(spark), 2).where("start_text = 'car'").count() == 2
+
+
+def test_json_pages_bounded_for_a_hub_word(spark):
+    hub = [("hub", "en", f"n{i}", "en", "RelatedTo", float(i)) for i in range(40)]
+    kg = spark.createDataFrame(hub, "start_text string, start_lang string, end_text string, "
+                                    "end_lang string, relation string, weight double")
+    docs = G.edges_to_json(kg, page_size=10)
+    sizes = [r.n for r in docs.selectExpr(
+        "size(from_json(json, 'edges ARRAY<STRUCT<weight: DOUBLE>>').edges) AS n").collect()]
+    assert len(sizes) >= 2 and sum(sizes) == 40     # split into pages, nothing lost
+    assert G.parse_edge_json(docs).count() == 40

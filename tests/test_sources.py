@@ -78,3 +78,12 @@ def test_incremental_stream_is_exactly_once(spark):
     second = run()                      # restart: only the new file is read
     assert second.count() == 12
     assert second.groupBy("example_id").count().where("count != 4").count() == 0
+
+
+def test_catalog_json_entry(spark):
+    df = spark.createDataFrame([(1, "train"), (2, "test")], "id long, split string")
+    path = shared_dir(spark, "catjson")
+    df.write.partitionBy("split").json(path)
+    cat = Catalog()
+    cat.register("toy_json", "v1", path, fmt="json")
+    assert [r.id for r in cat.load(spark, "toy_json", "v1", splits=["train"]).collect()] == [1]
