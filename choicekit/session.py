@@ -59,3 +59,25 @@ def shared_dir(spark: SparkSession, name: str | None = None) -> str:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint()`` usable (reliable, shared storage)."""
     shared_dir(spark, "probe")
+
+
+# Recommended settings for a large cluster (about 1,000 executors, ~100 TB
+# input).  The library never sets these itself; pass them to spark-submit or
+# the session builder.
+CLUSTER_CONF = {
+    # AQE re-plans at run time: coalesces small shuffle partitions, splits
+    # skewed ones, switches joins to broadcast when a side turns out small
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+    # start wide enough that no shuffle partition spills at 100 TB; AQE
+    # coalesces the partitions that come out small
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    # broadcast only what AQE measures below this size at run time
+    "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+    # shared storage for checkpoints and stages (set to the cluster's folder)
+    # "spark.checkpoint.dir": "<shared folder>",
+}
