@@ -30,3 +30,43 @@ def test_vocabulary_chain_matches_python(spark, texts):
     got = {r.i: r.v for r in df.select("i", tx.ngram_text("t").alias("v")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == python_vocab(t), (t, got[i])
+
+
+def python_vocab_1_2(t):
+    if t is None:
+        return None
+    clean = regex.sub(r"\p{Nd}+", "", t.lower())
+    stop = set(stop_words())
+    toks = [w for w in regex.findall(r"[\p{L}\p{N}_]{2,}", clean) if w not in stop]
+    grams = toks + [" ".join(toks[i:i + 2]) for i in range(len(toks) - 1)]
+    v = sorted(set(grams))
+    return v or None
+
+
+@settings(max_examples=3, deadline=None, derandomize=True,
+          suppress_health_check=list(HealthCheck))
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=ALPHABET, max_size=80)),
+                min_size=200, max_size=200))
+def test_bigram_vocabulary_matches_python(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    got = {r.i: r.v for r in tx.with_ngram_text(df, "t", "v", 1, 2).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == python_vocab_1_2(t), (t, got[i])
+
+
+CSV_ALPHABET = 'ab é,;"\'\n\r\t|\\ N'
+
+
+@settings(max_examples=3, deadline=None, derandomize=True,
+          suppress_health_check=list(HealthCheck))
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=CSV_ALPHABET, max_size=30)
+                          .filter(lambda s: s != "\\N")),
+                min_size=100, max_size=100))
+def test_csv_round_trip_random_text(spark, texts):
+    from choicekit.session import shared_dir
+    from choicekit.sources import files as FS
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    for sep in (",", "\t"):
+        path = FS.write_csv(df, shared_dir(spark, "csvprop"), sep=sep)
+        back = {r.i: r.t for r in FS.read_csv(spark, path, "i long, t string", sep=sep).collect()}
+        assert back == dict(enumerate(texts))
