@@ -72,3 +72,57 @@ def test_segments_and_rejects(spark, seqs):
         a = ids[1:seps[0]]
         b = ids[seps[0] + 1:seps[1]]
         assert got[i] == ((a + [0] * L)[:L], (b + [0] * L)[:L])
+
+
+@SET
+@given(st.lists(st.tuples(st.lists(st.text(alphabet="ab ", max_size=4), min_size=0, max_size=5),
+                          st.sampled_from(["A", "B", "C", "D", "E", "", "a"])),
+                min_size=1, max_size=15))
+def test_binarise_by_letter(spark, items):
+    from choicekit.operators import reshape as R
+    rows = [(i, "q", opts, ans, "ctx", "train") for i, (opts, ans) in enumerate(items)]
+    df = spark.createDataFrame(rows, "example_id long, question string, options array<string>, "
+                                     "answer string, article string, split string")
+    got = sorted((r.example_id, r.choice_idx, r.answer, r.correct)
+                 for r in R.binarise_by_letter(df).collect())
+    letters = {"A": 0, "B": 1, "C": 2, "D": 3}
+    expect = sorted((i, p, o, int(p == letters.get(a, -1)))
+                    for i, (opts, a) in enumerate(items) for p, o in enumerate(opts))
+    assert got == expect
+
+
+@SET
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="abcé 1.,", max_size=20)),
+                min_size=1, max_size=20),
+       st.lists(st.text(alphabet="abcé", min_size=2, max_size=3), max_size=6, unique=True))
+def test_dictionary_translate(spark, texts, known):
+    import regex
+    from choicekit.operators import udf as U
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    d = spark.createDataFrame([(w, w.upper()) for w in known] or [("zz", "ZZ")],
+                              "src string, tgt string")
+    got = {r.k: r.o for r in U.dictionary_translate(df, "k", "t", "o", d).collect()}
+    table = {w: w.upper() for w in known}
+    for k, t in enumerate(texts):
+        if t is None:
+            assert got[k] is None
+        else:
+            words = regex.findall(r"[\p{L}\p{N}_]{2,}", t.lower())
+            assert got[k] == " ".join(table.get(w, w) for w in words)
+
+
+@SET
+@given(st.lists(st.lists(st.integers(-3, 3).map(float), min_size=3, max_size=3),
+                min_size=2, max_size=8))
+def test_pivot_similarity(spark, vecs):
+    import math
+    rows = [(1, i, v, i == 0) for i, v in enumerate(vecs)]
+    df = spark.createDataFrame(rows, "doc_id long, vec_id long, embedding array<double>, "
+                                     "is_pivot boolean")
+    got = {r.vec_id: r.sim for r in V.pivot_similarity(df).collect()}
+    p = vecs[0]
+    np_ = math.sqrt(sum(x * x for x in p))
+    for i, v in enumerate(vecs[1:], start=1):
+        nv = math.sqrt(sum(x * x for x in v))
+        expect = round(sum(a * b for a, b in zip(v, p)) / max(nv * np_, 1e-8), 6)
+        assert got[i] == expect
