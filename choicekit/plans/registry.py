@@ -16,7 +16,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, QueryFn] = {}
 _ORACLE: dict[str, str] = {}
 
-MODULES = ("q_reshape", "q_text", "q_vectors", "q_cluster", "q_graph", "q_entities",
+MODULES = ("q_reshape", "q_text", "q_vectors", "q_graph", "q_entities",
            "q_encode", "q_metrics", "q_udf", "q_scorer", "q_flows")
 
 
@@ -33,11 +33,7 @@ def register(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 
 def _load() -> None:
     for m in MODULES:
-        try:
-            importlib.import_module(f"{__package__}.{m}")
-        except ModuleNotFoundError as e:
-            if e.name != f"{__package__}.{m}":
-                raise
+        importlib.import_module(f"{__package__}.{m}")
 
 
 def queries() -> dict[str, QueryFn]:
