@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import ngram_join, token_output
 from .common import read, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,8 @@ def query(name: str, sql: str | None = None):
 @query("op7_ngram_join")
 def op7(spark, sf_dir):
     return ngram_join.with_components(read(spark, sf_dir, "documents"))
+
+
+@query("op8_token_output")
+def op8(spark, sf_dir):
+    return token_output.digest(*token_output.write(read(spark, sf_dir, "documents")))
