@@ -4,8 +4,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join, token_output
+from . import chat_format, mixing, ngram_join, token_output, url_filter
 from .common import read, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +33,41 @@ def op7(spark, sf_dir):
 @query("op8_token_output")
 def op8(spark, sf_dir):
     return token_output.digest(*token_output.write(read(spark, sf_dir, "documents")))
+
+
+@query("op9_mixing")
+def op9(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.taken_words(mixing.plan(docs))
+
+
+def listed_urls(pages):
+    """The list of the query: canonical urls of pages on hosts that a hyphenated label
+    marks as bulk mail hosts."""
+    host = url_filter.host_of(F.col("url"))
+    return pages.where(host.rlike(r"(^|\.)[a-z]+-[a-z]+\.")).select(
+        url_filter.canonical(F.col("url")).alias("canon"))
+
+
+@query("op4_url_filter")
+def op4(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, listed_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op5_chat_format")
+def op5(spark, sf_dir):
+    said = "\\### Assistant: </turn> ok"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                 F.lit(said).alias("text"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    out = chat_format.format_conversations(rows)
+    out = out.withColumn("turns", chat_format.turns_of(F.col("formatted"))) \
+        .withColumn("loss", chat_format.loss_text(F.col("formatted"), F.col("spans")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"),
+                      F.sha2(said, 256).alias("turns_sha256"),
+                      F.length("loss").cast("long").alias("loss_chars"),
+                      F.sha2(F.col("loss"), 256).alias("loss_sha256"),
+                      F.length("formatted").cast("long").alias("formatted_chars"), "n_blocks")
