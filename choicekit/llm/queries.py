@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, ngram_join, token_output, url_filter
+from . import chat_format, language_id, mixing, ngram_join, token_output, toxicity, url_filter
 from .common import read, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,22 @@ def op5(spark, sf_dir):
                       F.length("loss").cast("long").alias("loss_chars"),
                       F.sha2(F.col("loss"), 256).alias("loss_sha256"),
                       F.length("formatted").cast("long").alias("formatted_chars"), "n_blocks")
+
+
+def _remainder(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+@query("op10_toxicity")
+def op10(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.fit(docs, labels))
+
+
+@query("op6_language_id")
+def op6(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = _remainder(3) == 1
+    model = language_id.fit(docs.where(~F.coalesce(held, F.lit(False))))
+    out = language_id.predict(docs, model)
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
