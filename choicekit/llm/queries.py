@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, mixing, ngram_join, token_output, toxicity, url_filter
+from . import ann, chat_format, decontaminate, hmm_lm, language_id, mixing, ngram_join, token_output, toxicity, url_filter
 from .common import read, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,18 @@ def op6(spark, sf_dir):
     model = language_id.fit(docs.where(~F.coalesce(held, F.lit(False))))
     out = language_id.predict(docs, model)
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op2_hmm_lm")
+def op2(spark, sf_dir):
+    return hmm_lm.score(read(spark, sf_dir, "documents"))
+
+
+@query("op3_ann")
+def op3(spark, sf_dir):
+    return ann.search(read(spark, sf_dir, "embeddings"), lambda v: v % 20 == 0)
+
+
+@query("op1_decontaminate")
+def op1(spark, sf_dir):
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
