@@ -80,10 +80,10 @@ def shingle_sets(batch: pa.RecordBatch) -> list[np.ndarray]:
         if b - a >= SHINGLE:
             out.append(np.unique(h[a:b - SHINGLE + 1]))
         elif b > a:
-            one = np.uint64(b - a) << np.uint64(40)
-            for x in w[a:b]:
-                one = mix(np.array([one + x]))[0]
-            out.append(np.array([one], np.uint64))
+            one = np.array([(b - a) << 40], np.uint64)
+            for j in range(a, b):
+                one = mix(one + w[j:j + 1])
+            out.append(one)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
