@@ -245,14 +245,19 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _edges(out)
 
 
-def allocate(shared: DataFrame) -> DataFrame:
-    """The cheapest units each (node, role) still has to buy: (node, role, seg, unit)."""
-    seg = shared.groupBy("node", "role", "seg", "dbl", "short").agg(
+def segment_costs(shared: DataFrame) -> DataFrame:
+    """c1, c2 of the segments that aren't free: documents met by looking for an equal subset,
+    and those more that one deletion reaches."""
+    return shared.groupBy("node", "role", "seg", "dbl", "short").agg(
         F.max(F.when(F.col("gone") == 0, F.col("n_own") - F.when(F.col("role") == 0, 1).otherwise(0))
               .otherwise(0)).alias("c1"),
         F.sum(F.when(F.col("gone") == 1, F.col("n_own")).when(F.col("dbl") == 1, F.col("n_gone"))
               .otherwise(0)).alias("c2")).where("c1 > 0 OR (dbl = 1 AND c2 > 0)")
-    units = seg.select("node", "role", "seg", "short", F.explode(F.filter(F.array(
+
+
+def allocate(costs: DataFrame) -> DataFrame:
+    """The cheapest units each (node, role) still has to buy: (node, role, seg, unit)."""
+    units = costs.select("node", "role", "seg", "short", F.explode(F.filter(F.array(
         F.struct(F.lit(1).alias("unit"), F.col("c1").alias("cost")),
         F.struct(F.lit(2).alias("unit"),
                  F.when(F.col("dbl") == 1, F.col("c1") + F.col("c2")).otherwise(0).alias("cost"))),
@@ -263,14 +268,24 @@ def allocate(shared: DataFrame) -> DataFrame:
         .where("k <= paid - short").select("node", "role", "seg", F.col("u.unit").alias("unit"))
 
 
+def least_apart(costs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(node, n, far): an index node's size and its free units, which it differs by at the
+    least from every other index node of its band."""
+    paid = costs.where("role = 0").groupBy("node").agg(
+        F.sum((F.col("c1") > 0).cast("int") + ((F.col("dbl") == 1) & (F.col("c1") + F.col("c2") > 0))
+              .cast("int")).alias("paid"), F.first("short").alias("short"))
+    return sizes.join(paid, "node", "left").select("node", "n", F.when(
+        F.col("paid").isNotNull(), F.col("short") + F.floor(F.col("n") * 2 / 9) + 1 - F.col("paid")).alias("far"))
+
+
 def with_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = stage(docs.mapInArrow(_node_rows, "doc_id long, n long, node long, more long"), "nodes")
     full = base.where("n > 0")
-    reps = full.groupBy("node", "more").agg(F.min("doc_id").alias("rep"))
+    reps = full.groupBy("node", "more").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     # copies beyond each node's representative produce no signatures
-    copies = full.join(reps.withColumnRenamed("rep", "doc_id"), ["node", "more", "doc_id"],
+    copies = full.join(reps.select("node", "more", F.col("rep").alias("doc_id")), ["node", "more", "doc_id"],
                        "left_anti").select("doc_id").distinct()
     copies = stage(copies, "copies")
     maybe, never = split_by_ids(docs, copies, "doc_id")
@@ -291,7 +306,8 @@ def with_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 F.shiftright(kind, 1).bitwiseAND(F.lit(1)).alias("gone"),
                 kind.bitwiseAND(F.lit(1)).alias("dbl"))
     shared = stage(shared, "shared")
-    bought = stage(allocate(shared), "bought")
+    costs = stage(segment_costs(shared), "costs")
+    bought = stage(allocate(costs), "bought")
 
     # groups: the index node of each key that shares most, and each buyer's commonest one
     plain = shared.where("gone = 0")
@@ -304,6 +320,11 @@ def with_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .where("node <> center").groupBy("node", "role", "center").count() \
         .groupBy("node", "role").agg(F.max_by("center", F.struct("count", "center")).alias("center"))
     star = stage(star, "star")
+    # a centre shares more than its node, so following centres ends at the root of a group
+    for _ in range(2):
+        up = star.where("role = 0").select(F.col("node").alias("center"), F.col("center").alias("up"))
+        star = stage(star.join(up, "center", "left").select(
+            "node", "role", F.coalesce("up", "center").alias("center")), "star")
     # bought keys whose two documents are in different groups
     index = plain.where("role = 0").select("key", F.col("node").alias("other"))
     index_gone = shared.where("gone = 1 AND role = 0").select("key", F.col("node").alias("other"))
@@ -311,22 +332,30 @@ def with_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                        ["node", "role", "seg"]).join(star, ["node", "role"], "left")
     # a bought key all of whose documents are in one group needs no join
     home = star.where("role = 0").select(F.col("node").alias("other"), F.col("center").alias("home"))
-    met = buys.where("unit = 1 AND gone = 0").select("key", "node", "center") \
+    met = buys.where("unit = 1 AND gone = 0").select("key", "node", "role", "center") \
         .join(index.join(home, "other", "left"), "key") \
-        .unionByName(buys.where("unit = 2 AND gone = 1").select("key", "node", "center")
+        .unionByName(buys.where("unit = 2 AND gone = 1").select("key", "node", "role", "center")
                      .join(index.join(home, "other", "left"), "key")) \
-        .unionByName(buys.where("unit = 2 AND gone = 0 AND n_gone > 0").select("key", "node", "center")
+        .unionByName(buys.where("unit = 2 AND gone = 0 AND n_gone > 0").select("key", "node", "role", "center")
                      .join(index_gone.join(home, "other", "left"), "key"))
-    apart = met.where(
+    # a pair differs at least by what either side has free, and at most by (r + s) // 9;
+    # the larger of a band's two documents buys enough to meet the smaller
+    far = stage(least_apart(costs, reps.select("node", "n")), "sizes")
+    met = met.where(
         (F.col("node") != F.col("other")) & ~F.coalesce(F.col("center") == F.col("home"), F.lit(False))
         & ~F.coalesce(F.col("center") == F.col("other"), F.lit(False))
-        & ~F.coalesce(F.col("home") == F.col("node"), F.lit(False))) \
+        & ~F.coalesce(F.col("home") == F.col("node"), F.lit(False))).select("node", "other", "role").distinct()
+    room = F.floor((F.col("n") + F.col("s")) / 9)
+    same = (F.col("role") == 1) | ((F.col("n") >= F.col("s")) & (
+        room >= F.greatest(F.coalesce("far", F.lit(0)), F.coalesce("s_far", F.lit(0)))))
+    apart = met.join(far, "node").join(far.toDF("other", "s", "s_far"), "other") \
+        .where((5 * F.col("s") >= 4 * F.col("n")) & (5 * F.col("n") >= 4 * F.col("s")) & same) \
         .select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct()
     apart = stage(apart, "apart")
 
     member = star.select("center", "node").union(star.select("center", F.col("center"))).distinct()
     wanted = member.select("node").union(apart.select("x")).union(apart.select("y")).distinct() \
-        .join(reps, "node").select("node", F.col("rep").alias("doc_id"))
+        .join(reps.select("node", "rep"), "node").select("node", F.col("rep").alias("doc_id"))
     wanted = stage(wanted, "wanted")
     maybe, _ = split_by_ids(docs, wanted, "doc_id")
     text = stage(maybe.dropDuplicates(["doc_id"]).join(wanted, "doc_id"), "texts")
@@ -345,8 +374,8 @@ def with_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("a", "b", "s", "t")
     links = found.union(pairs.mapInArrow(_verify, "a long, b long"))
     comp = components(links)
-    per_node = reps.join(comp, reps["rep"] == comp["id"]).select("node", "more", "component")
-    return base.join(reps, ["node", "more"], "left").join(per_node, ["node", "more"], "left").select(
+    per_node = reps.drop("n").join(comp, reps["rep"] == comp["id"]).select("node", "more", "component")
+    return base.join(reps.drop("n"), ["node", "more"], "left").join(per_node, ["node", "more"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.coalesce("component", F.when(F.col("n") > 0, F.col("rep")), "doc_id").alias("component_id"))
 
