@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 8 << 20          # text bytes tokenised at once in a task
+SLICE_BYTES = 4 << 20          # text bytes tokenised at once in a task
 FILTER_WORDS = 1 << 16         # rows of a document-id bit filter: 64 bits each, 512 KB in all
 
 

@@ -5,11 +5,13 @@ five-word shingles.  A window's SimHash (64 bits; every shingle votes with its n
 occurrences) comes from running sums, so each window costs the same whatever its length.
 Item lengths fall into classes a tenth apart, and a class has one window length.
 
-Multi-index search: two fingerprints within ``RADIUS`` bits agree to within ``RADIUS // 4``
-bits in one of their four 16-bit blocks, so tables of all such block values lead to every
-item within the radius.  A hit is then verified exactly: weighted Jaccard similarity
-(sum of the smaller counts over sum of the larger) of the item's shingles and the best
-window of the item's own length near the hit, at least ``SIMILARITY``.
+Multi-index search: the radii of the four 16-bit blocks, each plus one, add up to more than
+``RADIUS``, so two fingerprints within ``RADIUS`` bits are within its radius in some block,
+and tables of all such block values lead to every item within the radius.  A hit is then
+verified exactly: weighted Jaccard similarity (sum of the smaller counts over sum of the
+larger) of the item's shingles and the best window of the item's own length near the hit,
+at least ``SIMILARITY``.  Windows start up to three words apart (a twelfth of their length);
+the search near a hit covers all starts between.
 
 Items are sent to the tasks ``ITEMS`` at a time; a larger benchmark takes more passes.
 
@@ -32,8 +34,8 @@ from .common import mix, pieces, split_by_ids, stage, tokens
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 14
-BLOCKS = 4
+RADIUS = 12
+BLOCK_RADII = (3, 2, 2, 2)
 ITEMS = 4_096
 CLASS_STEP = 1.1
 STREAM = 16_000         # words of a document, or of several, compared at once
@@ -72,8 +74,8 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 class Index:
     """Items of one shingle length and length class."""
 
-    near = [np.array(sorted(sum(1 << b for b in c) for n in range(RADIUS // BLOCKS + 1)
-                            for c in combinations(range(16), n)), np.uint16)]
+    near = [np.array(sorted(sum(1 << b for b in c) for n in range(r + 1)
+                            for c in combinations(range(16), n)), np.uint16) for r in BLOCK_RADII]
 
     def __init__(self, words: int, k: int):
         self.words, self.k, self.items = words, k, []
@@ -81,30 +83,31 @@ class Index:
     def build(self) -> Index:
         self.prints = np.array([fingerprint(votes(s).sum(axis=0, dtype=np.int32)[None, :], len(s))[0]
                                 for _, _, s in self.items], np.uint64)
-        blocks = self.prints.view(np.uint16).reshape(-1, BLOCKS)
+        blocks = self.prints.view(np.uint16).reshape(-1, len(BLOCK_RADII))
         self.tables = []
-        for b in range(BLOCKS):
-            value = (blocks[:, b][:, None] ^ self.near[0][None, :]).ravel()
-            item = np.repeat(np.arange(len(blocks)), len(self.near[0]))
+        for b, near in enumerate(self.near):
+            value = (blocks[:, b][:, None] ^ near[None, :]).ravel()
+            item = np.repeat(np.arange(len(blocks)), len(near))
             order = np.argsort(value, kind="stable")
             self.tables.append((np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << 16))]),
                                 item[order]))
         return self
 
-    def search(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) within RADIUS bits, each once."""
+    def search(self, prints: np.ndarray) -> np.ndarray:
+        """Rows (window, item, distance) within RADIUS bits, each once."""
         out = []
-        blocks = prints.view(np.uint16).reshape(-1, BLOCKS)
+        blocks = prints.view(np.uint16).reshape(-1, len(BLOCK_RADII))
         for b, (start, item) in enumerate(self.tables):
             v = blocks[:, b].astype(np.int64)
             n = start[v + 1] - start[v]
             w = np.repeat(np.arange(len(v)), n)
             end = np.cumsum(n)
             i = item[np.repeat(start[v] - end + n, n) + np.arange(end[-1] if len(end) else 0)]
-            close = np.bitwise_count(prints[w] ^ self.prints[i]) <= RADIUS
-            out.append(np.stack([w[close], i[close]]))
-        got = np.unique(np.concatenate(out, axis=1), axis=1)
-        return got[0], got[1]
+            far = np.bitwise_count(prints[w] ^ self.prints[i])
+            close = far <= RADIUS
+            if close.any():
+                out.append(np.stack([w[close], i[close], far[close]], axis=1))
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
 
 def build(items: list[tuple[int, str | None]]) -> list[Index]:
@@ -144,12 +147,12 @@ def _streams(offsets: np.ndarray, overlap: int):
 def best_window(words: np.ndarray, item, k: int, at: int, slack: int) -> tuple[float, int]:
     """Similarity and start of the item-long window most like the item within slack of at."""
     _, n, s = item
-    best = (-1.0, 0)
-    for a in range(max(0, at - slack), max(0, min(at + slack, len(words) - n)) + 1):
-        sim = similarity(s, shingles(words[a:a + n], k))
-        if sim > best[0]:
-            best = (sim, a)
-    return best
+    low = max(0, min(at - slack, len(words) - n))
+    high = max(low, min(at + slack, len(words) - n))
+    h = shingles(words[low:high + n], k)
+    m = min(n, len(words)) - k + 1
+    return max(((similarity(s, h[a:a + m]), low + a) for a in range(high - low + 1)),
+               key=lambda x: (x[0], -x[1]))
 
 
 def matches(batch: pa.RecordBatch, classes: list[Index]) -> list[tuple]:
@@ -157,40 +160,46 @@ def matches(batch: pa.RecordBatch, classes: list[Index]) -> list[tuple]:
     t = tokens(batch.column("text"))
     words = word_hashes(t.words.to_pylist())[t.codes] if len(t.codes) else np.zeros(0, np.uint64)
     longest = max((c.words for c in classes), default=0)
-    found: dict = {}
+    hits: dict = {}                      # (text, class, item): (start, distance)
     for group in _streams(t.offsets, 2 * longest):
         w = np.concatenate([words[t.offsets[d] + a:t.offsets[d] + a + n] for d, a, n in group])
         size = np.array([n for _, _, n in group])
         first = np.cumsum(size) - size
         sums: dict = {}
-        for c in classes:
+        for number, c in enumerate(classes):
             if c.k not in sums:
                 h = shingles(w, c.k)
-                sums[c.k] = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(
-                    votes(h), axis=0, dtype=np.int32 if len(h) > 30_000 else np.int16)]) if len(h) else None
-            s = sums[c.k]
-            if s is None:
-                continue
-            n = c.words - c.k + 1
-            step = 2 if c.words >= 12 else 1
-            start = np.concatenate([
-                f + np.append(np.arange(0, z - c.words, step), z - c.words) if z >= c.words else
-                np.zeros(0, np.int64) for f, z in zip(first, size, strict=True)])
-            prints = fingerprint(s[start + n] - s[start], n) if len(start) else np.zeros(0, np.uint64)
-            hit = [(int(start[i]), c, c.items[j]) for i, j in zip(*c.search(prints), strict=True)]
-            for f, z in zip(first, size, strict=True):                # shorter than the window
-                if c.k <= z < c.words and z >= SIMILARITY * c.words:
-                    p = fingerprint((s[f + z - c.k + 1] - s[f])[None, :], z - c.k + 1)
-                    hit += [(int(f), c, c.items[j]) for j in c.search(p)[1]]
-            for at, c2, item in hit:
-                g = int(np.searchsorted(first, at, side="right")) - 1
-                d, a, z = group[g]
-                own = words[t.offsets[d]:t.offsets[d + 1]]
-                sim, place = best_window(own, item, c2.k, a + at - int(first[g]), 2 + c2.words // 8)
-                if sim >= SIMILARITY:
-                    old = found.get((d, item[0]))
-                    if old is None or (-sim, place) < (-old[0], old[1]):
-                        found[d, item[0]] = (sim, place, min(item[1], len(own)))
+                kind = np.int32 if len(h) > 30_000 else np.int16
+                sums[c.k] = np.zeros((len(h) + 1, 64), kind)
+                np.cumsum(votes(h), axis=0, dtype=kind, out=sums[c.k][1:])
+            s, n = sums[c.k], c.words - c.k + 1
+            step = max(1, min(3, c.words // 12))
+            # windows over document borders are looked up too: verification reads one document
+            if len(s) > n:
+                far = c.search(fingerprint(s[n::step] - s[:-n:step], n))
+                for i, j, dist in far.tolist():
+                    g = int(np.searchsorted(first, i * step + c.words // 2, side="right")) - 1
+                    d, a, _ = group[g]
+                    hits.setdefault((d, number, j), []).append((a + i * step - int(first[g]), dist))
+            for g in np.flatnonzero((size < c.words) & (size >= max(c.k, SIMILARITY * c.words))):
+                m = size[g] - c.k + 1     # a document shorter than the window
+                for _, j, dist in c.search(fingerprint((s[first[g] + m] - s[first[g]])[None, :], m)).tolist():
+                    hits.setdefault((group[g][0], number, j), []).append((group[g][1], dist))
+    found: dict = {}
+    for (d, number, j), places in hits.items():
+        c = classes[number]
+        item, own, slack = c.items[j], words[t.offsets[d]:t.offsets[d + 1]], 4 + c.words // 8
+        if len(own) < c.k:
+            continue
+        run: list = []                    # hits near each other are one place, at its closest
+        for at, dist in [*sorted(places), (1 << 60, 0)]:
+            if run and at - run[-1][0] > slack:
+                sim, start = best_window(own, item, c.k, min(run, key=lambda x: x[1])[0], slack)
+                old = found.get((d, item[0]))
+                if sim >= SIMILARITY and (old is None or (-sim, start) < (-old[0], old[1])):
+                    found[d, item[0]] = (sim, start, min(item[1], len(own)))
+                run = []
+            run.append((at, dist))
     return [(d, i, *v) for (d, i), v in sorted(found.items(), key=lambda x: (x[0][0], str(x[0][1])))]
 
 

@@ -42,7 +42,7 @@ BLOCK_IDS = 4096
 SHARD_IDS = 1 << 20
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
-CACHED_PIECES = 800_000
+CACHED_PIECES = 600_000
 NO_DOC = -(1 << 63)        # doc_id of a null in an image
 # a space at an end or beside other white space: not a place to cut
 ODD_SPACE = r"(^|[\s\p{Z}\x{85}\x0b\x1c-\x1f]) | ($|[\s\p{Z}\x{85}\x0b\x1c-\x1f])|\x00"

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import pieces, tokens
 
-TRAIN_ROWS = 12_000         # labelled documents the classifier is fitted on at most
+TRAIN_ROWS = 8_000          # labelled documents the classifier is fitted on at most
 FEATURES = 4_096            # features it may use, most telling first
 PREFIXES = (4, 5)
 STRIP = b".,;:!?\"'()[]{}<>*#-_%$&"
