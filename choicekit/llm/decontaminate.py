@@ -59,7 +59,7 @@ def votes(h: np.ndarray) -> np.ndarray:
 
 def fingerprint(ones: np.ndarray, n: int) -> np.ndarray:
     """SimHash from the number of set votes of n shingles."""
-    return np.packbits(2 * ones > n, axis=-1).view(np.uint64)[..., 0]
+    return np.packbits(ones > n // 2, axis=-1).view(np.uint64)[..., 0]
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -89,18 +89,20 @@ class Index:
             value = (blocks[:, b][:, None] ^ near[None, :]).ravel()
             item = np.repeat(np.arange(len(blocks)), len(near))
             order = np.argsort(value, kind="stable")
-            self.tables.append((np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << 16))]),
-                                item[order]))
+            count = np.bincount(value, minlength=1 << 16)
+            self.tables.append((count > 0, count, np.cumsum(count) - count, item[order]))
         return self
 
     def search(self, prints: np.ndarray) -> np.ndarray:
         """Rows (window, item, distance) within RADIUS bits, each once."""
         out = []
         blocks = prints.view(np.uint16).reshape(-1, len(BLOCK_RADII))
-        for b, (start, item) in enumerate(self.tables):
-            v = blocks[:, b].astype(np.int64)
-            n = start[v + 1] - start[v]
-            w = np.repeat(np.arange(len(v)), n)
+        for b, (some, count, start, item) in enumerate(self.tables):
+            v = blocks[:, b]
+            at = np.flatnonzero(some[v])
+            v = v[at]
+            n = count[v]
+            w = np.repeat(at, n)
             end = np.cumsum(n)
             i = item[np.repeat(start[v] - end + n, n) + np.arange(end[-1] if len(end) else 0)]
             far = np.bitwise_count(prints[w] ^ self.prints[i])
