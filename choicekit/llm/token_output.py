@@ -12,9 +12,10 @@ never a half-written file.  A shard image is
 
 so numpy unpacks a block at once and any document is read from its own blocks alone.
 
-Tokenising: a single space between two non-space characters always starts a new
-pre-token of the byte-level vocabulary, so texts are cut there and each distinct piece
-is encoded once per worker; texts with other white space around a space are encoded whole.
+Tokenising: in the byte-level vocabulary a single space between two other characters
+starts a pre-token, a single newline there is one, and a point or comma after a letter
+starts one.  Texts are cut at these places and each distinct piece is encoded once per
+worker; texts with other white space beside a space or newline are encoded whole.
 
 Defined results: null text is empty and holds the end id only; equal doc_ids are ordered
 by a hash of their text; a null doc_id sorts first and reads back as null; an empty table
@@ -44,8 +45,9 @@ END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 CACHED_PIECES = 600_000
 NO_DOC = -(1 << 63)        # doc_id of a null in an image
-# a space at an end or beside other white space: not a place to cut
-ODD_SPACE = r"(^|[\s\p{Z}\x{85}\x0b\x1c-\x1f]) | ($|[\s\p{Z}\x{85}\x0b\x1c-\x1f])|\x00"
+# a space or newline at an end or beside other white space: not a place to cut
+_WHITE = r"[\s\p{Z}\x{85}\x0b\x1c-\x1f]"
+ODD_SPACE = rf"(^|{_WHITE})[ \n]|[ \n]($|{_WHITE})|\x00"
 
 
 def width(vocabulary: int) -> int:
@@ -160,7 +162,10 @@ class Encoder:
             out[i] = ids
         easy = np.flatnonzero(~odd)
         if len(easy):
-            cut = pc.split_pattern(pc.replace_substring(text.take(pa.array(easy)), " ", "\0 "), "\0")
+            cut = pc.replace_substring(text.take(pa.array(easy)), " ", "\0 ")
+            cut = pc.replace_substring_regex(pc.replace_substring(cut, "\n", "\0\n\0"),
+                                             r"(\pL)([.,])", "\\1\0\\2")
+            cut = pc.split_pattern(cut, "\0")
             off = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(cut)))])
             enc = cut.flatten().dictionary_encode()
             words = enc.dictionary.to_pylist()
