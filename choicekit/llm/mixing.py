@@ -131,7 +131,10 @@ def plan(docs: DataFrame, weights=WEIGHTS, repeat: int = REPEAT, block: int = BL
     counts = counts.join(over, ["si", "super"]).withColumn("j0", F.col("j0") + F.sum("k").over(
         W.partitionBy("si", "super").orderBy("shard")) - F.col("k"))
     n = F.ceil(F.col("source_size") / block)
+    # a few rows make all slots: deal them out before
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slots = counts.where("k > 0").join(live.select("si", "source_size"), "si") \
+        .repartition(parts, "si", "shard") \
         .select("si", "shard", n.alias("n"), "j0", F.posexplode(
             F.sequence(F.col("j0"), F.col("j0") + F.col("k") - 1)).alias("slot", "j")) \
         .withColumn("epoch", F.floor(F.col("j") / F.col("n"))).where(F.col("epoch") < repeat) \
