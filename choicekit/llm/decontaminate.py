@@ -3,15 +3,17 @@
 Items of a benchmark and windows of documents as long as the items are compared as bags of
 five-word shingles.  A window's SimHash (64 bits; every shingle votes with its number of
 occurrences) comes from running sums, so each window costs the same whatever its length.
-Item lengths fall into classes a tenth apart, and a class has one window length.
+Item lengths fall into classes a tenth apart, and a class has one window length, not above
+its items'; an item is indexed by the fingerprint of each of its own windows of that
+length, so a whole copy of it always holds a window with the very same fingerprint.
 
 Multi-index search: the radii of the four 16-bit blocks, each plus one, add up to more than
 ``RADIUS``, so two fingerprints within ``RADIUS`` bits are within its radius in some block,
 and tables of all such block values lead to every item within the radius.  A hit is then
 verified exactly: weighted Jaccard similarity (sum of the smaller counts over sum of the
 larger) of the item's shingles and the best window of the item's own length near the hit,
-at least ``SIMILARITY``.  Windows start up to three words apart (a twelfth of their length);
-the search near a hit covers all starts between.
+at least ``SIMILARITY``.  Windows start up to three words apart (a twelfth of their length),
+never more than an item has windows; the search near a hit covers all starts between.
 
 Items are sent to the tasks ``ITEMS`` at a time; a larger benchmark takes more passes.
 
@@ -34,8 +36,8 @@ from .common import mix, pieces, split_by_ids, stage, tokens
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 12
-BLOCK_RADII = (3, 2, 2, 2)
+RADIUS = 11
+BLOCK_RADII = (2, 2, 2, 2)
 ITEMS = 4_096
 CLASS_STEP = 1.1
 STREAM = 16_000         # words of a document, or of several, compared at once
@@ -81,8 +83,12 @@ class Index:
         self.words, self.k, self.items = words, k, []
 
     def build(self) -> Index:
-        self.prints = np.array([fingerprint(votes(s).sum(axis=0, dtype=np.int32)[None, :], len(s))[0]
-                                for _, _, s in self.items], np.uint64)
+        n = self.words - self.k + 1
+        sums = [np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(votes(s), axis=0, dtype=np.int32)])
+                for _, _, s in self.items]
+        prints = [fingerprint(s[n:] - s[:-n], n) for s in sums]
+        self.prints = np.concatenate(prints)
+        self.owner = np.repeat(np.arange(len(prints)), [len(x) for x in prints])
         blocks = self.prints.view(np.uint16).reshape(-1, len(BLOCK_RADII))
         self.tables = []
         for b, near in enumerate(self.near):
@@ -108,7 +114,7 @@ class Index:
             far = np.bitwise_count(prints[w] ^ self.prints[i])
             close = far <= RADIUS
             if close.any():
-                out.append(np.stack([w[close], i[close], far[close]], axis=1))
+                out.append(np.stack([w[close], self.owner[i[close]], far[close]], axis=1))
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
 
@@ -119,8 +125,11 @@ def build(items: list[tuple[int, str | None]]) -> list[Index]:
         if not words:
             continue
         k = min(SHINGLE, len(words))
-        step = round(np.log(len(words)) / np.log(CLASS_STEP))
-        key = (max(k, round(CLASS_STEP ** step)), k)
+        long = max(k, len(words) - min(2, len(words) // 12))
+        step = int(np.log(long) / np.log(CLASS_STEP))
+        size = max(round(CLASS_STEP ** (step + 1)) if round(CLASS_STEP ** (step + 1)) <= long else 0,
+                   round(CLASS_STEP ** step), k)
+        key = (min(size, long), k)
         classes.setdefault(key, Index(*key)).items.append(
             (item_id, len(words), shingles(word_hashes(words), k)))
     return [c.build() for _, c in sorted(classes.items())]

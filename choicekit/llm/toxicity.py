@@ -121,11 +121,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     rate = np.bincount(row, strong[col], len(toxic)) / n
     grade = np.where(toxic == 1, 1 + (rate > np.median(rate[toxic == 1])), 0)
     weight = np.where(toxic == 1, 0.5 / n1, 0.5 / n0) * len(toxic)
-    check = np.arange(len(toxic)) % 5 == 0
     w, t = _solve(grade, start, col, len(order), weight)
+    if len(t) == 1:                      # one rate for all toxic documents: no second grade
+        t = np.append(t, t[0] + 40)
     x = np.bincount(row, w[col], len(toxic))
     prob = 1 / (1 + np.exp(-np.clip(x - t[0], -40, 40)))
-    del check
     # the cut between clean and toxic: best F1, in the middle of the gap where it is best
     s = np.unique(prob)
     mids = np.concatenate([(s[:-1] + s[1:]) / 2, [0.5]])

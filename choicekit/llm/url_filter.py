@@ -65,7 +65,8 @@ def matched(host, path, rules=RULES) -> F.Column:
     fits = [F.when(((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path),
                    F.struct(F.lit(len(r.text)).alias("len"), F.lit(r.text).alias("rule"),
                             F.lit(r.verdict).alias("verdict"))) for r in rules]
-    return F.array_max(F.array_compact(F.array(*fits)))
+    none = F.lit(None).cast("struct<len:int,rule:string,verdict:string>")
+    return F.array_max(F.array_compact(F.array(none, *fits)))
 
 
 def _mask(h) -> F.Column:
