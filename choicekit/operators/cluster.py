@@ -68,8 +68,7 @@ def update_centres(assigned: DataFrame, old: DataFrame, key: str = "doc_id") ->
 
 
 def kmeans_grouped(points: DataFrame, k: int, max_iter: int = 10, key: str = "doc_id",
-                   item: str = "vec_id", vec: str = "embedding",
-                   checkpoint_every: int = 3) -> DataFrame:
+                   item: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """Cosine k-means inside every group; returns ``key, item, cluster,
     centre_sim``.  Deterministic (seeded by the lowest items)."""
     spark = points.sparkSession
@@ -78,10 +77,15 @@ def kmeans_grouped(points: DataFrame, k: int, max_iter: int = 10, key: str = "do
     # checkpoint in shared storage, survives executor loss)
     p = prepare(points, key, item, vec).checkpoint()
     centres = seed_centres(p, k, key, item)
-    for step in range(max_iter):
-        centres = update_centres(assign(p, centres, key), centres, key)
-        if (step + 1) % checkpoint_every == 0:
-            centres = centres.checkpoint()
+    for _ in range(max_iter):
+        # the centres (k rows a group) are read twice by a step: cut the lineage
+        # every time, so that a step's plan doesn't hold the steps before it
+        new = update_centres(assign(p, centres, key), centres, key).checkpoint()
+        done = new.select(key, "cluster", "centre").exceptAll(
+            centres.select(key, "cluster", "centre")).isEmpty()
+        centres = new
+        if done:
+            break
     return assign(p, centres, key).select(key, item, "cluster", "centre_sim")
 
 

@@ -54,9 +54,8 @@ def kg_edges(spark: SparkSession, sf: str) -> DataFrame:
                                              "l_quantity")
     part = table(spark, sf, "part").select("p_partkey", "p_brand")
     supp = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
-    nation = F.broadcast(table(spark, sf, "nation").select("n_nationkey", "n_name",
-                                                           "n_regionkey"))
-    region = F.broadcast(table(spark, sf, "region").select("r_regionkey", "r_name"))
+    nation = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    region = table(spark, sf, "region").select("r_regionkey", "r_name")
     # pre-aggregate the fact table before each join so shuffles carry partial sums
     by_part = (li.groupBy("l_partkey", "l_suppkey", "l_returnflag")
                .agg(F.sum("l_quantity").alias("q")))
@@ -87,9 +86,8 @@ def kg_pairs(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     part = table(spark, sf, "part").select("p_partkey", "p_brand")
     cust = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    nation = F.broadcast(table(spark, sf, "nation").select("n_nationkey", "n_name",
-                                                           "n_regionkey"))
-    region = F.broadcast(table(spark, sf, "region").select("r_regionkey", "r_name"))
+    nation = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    region = table(spark, sf, "region").select("r_regionkey", "r_name")
     brand_cust = (li.join(part, li.l_partkey == part.p_partkey)
                   .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
                   .select("p_brand", "o_custkey").distinct())
@@ -106,36 +104,59 @@ def kg_pairs(spark: SparkSession, sf: str) -> DataFrame:
 # --------------------------------------------------------------------------
 # entities: entity search results keyed by a search term
 # --------------------------------------------------------------------------
+def search_term() -> F.Column:
+    """Brand and block of 200 parts: about eight parts share a term at any scale."""
+    return F.concat("p_brand", F.lit(" "), F.floor(F.col("p_partkey") / 200).cast("string"))
+
+
+def n_vectors(spark: SparkSession, sf: str) -> F.Column:
+    """Number of vectors, so that ids taken modulo it reach every one of them."""
+    return table(spark, sf, "embeddings").agg(F.count(F.lit(1))).scalar()
+
+
 def entities(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
     return p.select(
         F.col("p_partkey").alias("entity_id"),
-        F.col("p_name").alias("search_term"),
+        search_term().alias("search_term"),
         F.when(F.col("p_partkey") % 11 == 0, F.lit(None)).otherwise(F.col("p_name"))
         .alias("label"),
         F.when(F.col("p_partkey") % 10 == 0, F.lit(None))
         .otherwise(F.concat_ws(" ", "p_type", "p_brand")).alias("description"),
-        (F.col("p_partkey") % 500).alias("vec_id"))
+        (F.col("p_partkey") % n_vectors(spark, sf)).alias("vec_id"))
 
 
 ENTITY_QUERY_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def entity_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """Concepts to look up, one per line item: the name of its part (lines of
+    """Concepts to look up, one per line item: the term of its part (lines of
     orders whose key is divisible by 13 ask for a concept that is not in the
     entity table); the pivot vector is chosen by the line."""
     li = table(spark, sf, "lineitem").select(*ENTITY_QUERY_KEY)
-    part = table(spark, sf, "part").select("p_partkey", "p_name")
+    part = table(spark, sf, "part").select("p_partkey", search_term().alias("term"))
     return (li.join(part, li.l_partkey == part.p_partkey)
             .select(*ENTITY_QUERY_KEY,
                     F.when(F.col("l_orderkey") % 13 == 0,
-                           F.concat(F.col("p_name"), F.lit(" unknown")))
-                    .otherwise(F.col("p_name")).alias("concept"),
-                    ((F.col("l_orderkey") + F.col("l_linenumber")) % 500)
+                           F.concat(F.col("term"), F.lit(" unknown")))
+                    .otherwise(F.col("term")).alias("concept"),
+                    ((F.col("l_orderkey") + F.col("l_linenumber")) % n_vectors(spark, sf))
                     .alias("pivot_vec_id")))
 
 
+def word_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities whose search terms are the words of the documents: up to three
+    per word, described by the first document of their third."""
+    d = documents(spark, sf, "doc_id", "text")
+    w = d.select("doc_id", F.explode(F.array_distinct(tx.word_tokens(tx.preprocess_text("text"))))
+                 .alias("word"))
+    first = w.groupBy("word", (F.col("doc_id") % 3).alias("third")).agg(F.min("doc_id").alias("d"))
+    return first.select(F.xxhash64("word", "third").alias("entity_id"),
+                        F.col("word").alias("search_term"), F.col("word").alias("label"),
+                        F.concat(F.lit("word of document "), F.col("d").cast("string"))
+                        .alias("description"))
+
+
 # --------------------------------------------------------------------------
 # vector_groups: a "document" (label) with its candidate vectors
 # --------------------------------------------------------------------------
@@ -256,18 +277,20 @@ FROM lineitem JOIN part ON l_partkey = p_partkey
      JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 
 _sql("entities", """
-SELECT p_partkey AS entity_id, p_name AS search_term,
+SELECT p_partkey AS entity_id,
+       p_brand || ' ' || CAST(p_partkey // 200 AS VARCHAR) AS search_term,
        CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_name END AS label,
        CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE concat_ws(' ', p_type, p_brand) END
          AS description,
-       p_partkey % 500 AS vec_id
+       p_partkey % (SELECT count(*) FROM embeddings) AS vec_id
 FROM part""")
 
 _sql("entity_queries", """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-       CASE WHEN l_orderkey % 13 = 0 THEN concat(p_name, ' unknown') ELSE p_name END AS concept,
-       (l_orderkey + l_linenumber) % 500 AS pivot_vec_id
-FROM lineitem JOIN part ON l_partkey = p_partkey""")
+       CASE WHEN l_orderkey % 13 = 0 THEN concat(term, ' unknown') ELSE term END AS concept,
+       (l_orderkey + l_linenumber) % (SELECT count(*) FROM embeddings) AS pivot_vec_id
+FROM lineitem JOIN (SELECT p_partkey, p_brand || ' ' || CAST(p_partkey // 200 AS VARCHAR) AS term
+                    FROM part) ON l_partkey = p_partkey""")
 
 _sql("vector_groups", """
 SELECT e.label AS doc_id, e.vec_id, e.embedding, e.vec_id = f.pivot_id AS is_pivot

@@ -125,7 +125,7 @@ def q_tag_column(spark, sf):
 # Rows-only checks: iterative / randomised algorithms (property tests in tests/).
 @register("cosine_kmeans_grouped")
 def q_cosine_kmeans_grouped(spark, sf):
-    return C.kmeans_grouped(_candidates(spark, sf), k=K_SEEDS, max_iter=6)
+    return C.kmeans_grouped(_candidates(spark, sf), k=K_SEEDS, max_iter=25)
 
 
 @register("cosine_kmeans_global")
