@@ -278,6 +278,18 @@ def least_apart(costs: DataFrame, sizes: DataFrame) -> DataFrame:
         F.col("paid").isNotNull(), F.col("short") + F.floor(F.col("n") * 2 / 9) + 1 - F.col("paid")).alias("far"))
 
 
+def meet(buys: DataFrame, index: DataFrame) -> DataFrame:
+    """(node, role, other): a bought key's buyers with its index rows of other groups.  Buyers
+    of a key's largest group meet only the rows outside it; the few other buyers meet all."""
+    largest = index.groupBy("key", "home").count().groupBy("key").agg(
+        F.max_by("home", F.struct("count", "home")).alias("largest"))
+    b = buys.select("key", "node", "role", "center").join(largest, "key")
+    out = index.join(largest, "key").where("home <> largest").drop("largest")
+    most = b.where("center = largest").join(out, "key")
+    rest = b.where("center <> largest").join(index, "key")
+    return most.union(rest).where("center <> home AND node <> other").select("node", "role", "other")
+
+
 def with_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -326,25 +338,21 @@ def with_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         star = stage(star.join(up, "center", "left").select(
             "node", "role", F.coalesce("up", "center").alias("center")), "star")
     # bought keys whose two documents are in different groups
-    index = plain.where("role = 0").select("key", F.col("node").alias("other"))
-    index_gone = shared.where("gone = 1 AND role = 0").select("key", F.col("node").alias("other"))
-    buys = bought.join(shared.select("key", "node", "role", "seg", "gone", "n_own", "n_gone"),
-                       ["node", "role", "seg"]).join(star, ["node", "role"], "left")
-    # a bought key all of whose documents are in one group needs no join
     home = star.where("role = 0").select(F.col("node").alias("other"), F.col("center").alias("home"))
-    met = buys.where("unit = 1 AND gone = 0").select("key", "node", "role", "center") \
-        .join(index.join(home, "other", "left"), "key") \
-        .unionByName(buys.where("unit = 2 AND gone = 1").select("key", "node", "role", "center")
-                     .join(index.join(home, "other", "left"), "key")) \
-        .unionByName(buys.where("unit = 2 AND gone = 0 AND n_gone > 0").select("key", "node", "role", "center")
-                     .join(index_gone.join(home, "other", "left"), "key"))
+    other = shared.where("role = 0").select("key", "gone", F.col("node").alias("other")) \
+        .join(home, "other", "left").withColumn("home", F.coalesce("home", "other"))
+    index = other.where("gone = 0").select("key", "other", "home")
+    index_gone = other.where("gone = 1").select("key", "other", "home")
+    buys = bought.join(shared.select("key", "node", "role", "seg", "gone", "n_own", "n_gone"),
+                       ["node", "role", "seg"]).join(star, ["node", "role"], "left") \
+        .withColumn("center", F.coalesce("center", "node"))
+    met = meet(buys.where("unit = 1 AND gone = 0"), index) \
+        .union(meet(buys.where("unit = 2 AND gone = 1"), index)) \
+        .union(meet(buys.where("unit = 2 AND gone = 0 AND n_gone > 0"), index_gone))
     # a pair differs at least by what either side has free, and at most by (r + s) // 9;
     # the larger of a band's two documents buys enough to meet the smaller
     far = stage(least_apart(costs, reps.select("node", "n")), "sizes")
-    met = met.where(
-        (F.col("node") != F.col("other")) & ~F.coalesce(F.col("center") == F.col("home"), F.lit(False))
-        & ~F.coalesce(F.col("center") == F.col("other"), F.lit(False))
-        & ~F.coalesce(F.col("home") == F.col("node"), F.lit(False))).select("node", "other", "role").distinct()
+    met = met.distinct()
     room = F.floor((F.col("n") + F.col("s")) / 9)
     same = (F.col("role") == 1) | ((F.col("n") >= F.col("s")) & (
         room >= F.greatest(F.coalesce("far", F.lit(0)), F.coalesce("s_far", F.lit(0)))))
