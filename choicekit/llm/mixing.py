@@ -146,7 +146,8 @@ def plan(docs: DataFrame, weights=WEIGHTS, repeat: int = REPEAT, block: int = BL
         .withColumn("first", F.greatest(F.lit(0).cast("long"), F.col("block") * block - F.col("p0"))) \
         .withColumn("n", F.least("size", (F.col("block") + 1) * block - F.col("p0")) - F.col("first")) \
         .select("si", "block", "p0", "first", "n")
-    taken = slots.join(pieces, ["si", "block"]).select("si", "p0", "epoch", "shard", "slot", "first", "n")
+    # slots come from a few exploded rows, so their estimated size says nothing: no broadcast
+    taken = slots.hint("merge").join(pieces, ["si", "block"]).select("si", "p0", "epoch", "shard", "slot", "first", "n")
     return Plan(s, taken)
 
 
