@@ -55,7 +55,28 @@ def op4(spark, sf_dir):
     return url_filter.judge(pages, listed_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
-@query("op5_chat_format")
+CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+u AS (
+  SELECT *, length(replace(replace(text, '\', '\b'), '<', '\l')) AS n,
+         CASE WHEN lag(role) OVER w = role THEN 0 ELSE 1 END AS first_of_block
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text)
+                       FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n + CASE WHEN first_of_block = 1
+                         THEN length('<turn><says></turn>') + 1 + length(role)
+                         ELSE length('<more>') END) AS BIGINT) AS formatted_chars,
+       CAST(sum(first_of_block) AS BIGINT) AS n_blocks
+FROM u GROUP BY conv_id"""
+
+
+@query("op5_chat_format", CHAT_SQL)
 def op5(spark, sf_dir):
     said = "\\### Assistant: </turn> ok"
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"),
