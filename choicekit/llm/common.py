@@ -7,6 +7,7 @@ fit in memory in tokenised form.
 """
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -87,6 +88,15 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text",
             start = stop
 
 
+def give_back() -> None:
+    """Return this worker's freed memory to the system.  Spark reuses Python workers, so
+    what one stage has freed would otherwise count on top of what the next one takes."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread uint64 values over all 64 bits (vectorised, wraps)."""
     x = np.asarray(x, np.uint64).copy()

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import pieces, stage
+from .common import give_back, pieces, stage
 
 MAGIC = b"FWBP"
 BLOCK_IDS = 4096
@@ -44,6 +44,8 @@ SHARD_IDS = 1 << 20
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 CACHED_PIECES = 600_000
+SLICE = 1 << 20            # bytes of text cut up at once
+WHOLE = 1 << 18            # characters of uncut texts (or one text) encoded in a call
 NO_DOC = -(1 << 63)        # doc_id of a null in an image
 # a space or newline at an end or beside other white space: not a place to cut
 _WHITE = r"[\s\p{Z}\x{85}\x0b\x1c-\x1f]"
@@ -123,8 +125,19 @@ class Encoder:
         self.used = 0
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in
-                self.tok.encode_batch(texts, add_special_tokens=False)]
+        """Ids of texts or pieces that are not cut; a call holds a bounded number of them,
+        as the tokenizer keeps far more than the id of each token until it returns."""
+        out: list[np.ndarray] = []
+        call: list[str] = []
+        size = 0
+        for i, t in enumerate(texts):
+            call.append(t)
+            size += len(t)
+            if size >= WHOLE or i + 1 == len(texts):
+                out += [np.array(e.ids, np.uint32) for e in
+                        self.tok.encode_batch_fast(call, add_special_tokens=False)]
+                call, size = [], 0
+        return out
 
     def _learn(self, new: list[str]) -> None:
         """Encode unseen pieces, many in one call with a newline between them."""
@@ -200,6 +213,7 @@ def write(docs: DataFrame, name: str = "tokens", vocabulary: str = VOCABULARY,
     shards: part, before (ids before it in the part), n_ids, image.  Parts are in
     doc_id order; ``places`` has one row per part."""
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         enc = encoder(vocabulary)
         bits = width(max(enc.tok.get_vocab_size(), end_id + 1))
         end = np.array([end_id], np.uint32)
@@ -216,7 +230,7 @@ def write(docs: DataFrame, name: str = "tokens", vocabulary: str = VOCABULARY,
             before, ids, held, n = before + n, [], [], 0
             return row
 
-        for b in pieces(batches):
+        for b in pieces(batches, limit=SLICE):
             doc_ids = pc.fill_null(b.column("doc_id"), NO_DOC).to_pylist()
             for d, x in zip(doc_ids, enc.encode(b.column("text")), strict=True):
                 held.append(np.concatenate([x, end]))
@@ -226,6 +240,7 @@ def write(docs: DataFrame, name: str = "tokens", vocabulary: str = VOCABULARY,
                     yield out()
         if ids:
             yield out()
+        give_back()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")) \
         .withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h") \
