@@ -98,6 +98,14 @@ def cluster_summary(assigned: DataFrame, sims: DataFrame, key: str = "doc_id",
                                          F.min(item).alias(f"min_{item}"))
 
 
+def cluster_members(assigned: DataFrame, sims: DataFrame, key: str = "doc_id",
+                    item: str = "vec_id") -> DataFrame:
+    """A1: every member of every cluster with its pivot similarity, one row a
+    member (a hot cluster is never gathered into one array)."""
+    return assigned.select(key, item, "cluster").join(sims.select(key, item, "sim"), [key, item]) \
+        .select(key, "cluster", item, "sim")
+
+
 def representatives(assigned: DataFrame, sims: DataFrame, key: str = "doc_id",
                     item: str = "vec_id") -> DataFrame:
     """A2/T5: per (group, cluster) the member most similar to the pivot

@@ -3,9 +3,8 @@
 * ``build_vocabulary``: frequency-ranked token ids.  Counting is a grouped
   aggregate (map-side combine); dense ids come from a distributed sort plus
   per-partition offsets, so the vocabulary is never gathered in one task.
-* ``encode_tokens``: token -> id with unknown -> 1, order kept.  The join
-  against the vocabulary is sized by AQE at run time (broadcast when the
-  vocabulary turns out small, shuffle + skew split otherwise).
+* ``encode_tokens``: token -> id with unknown -> 1, order kept.  Only a row's
+  distinct tokens meet the vocabulary; the array is then mapped in place.
 * ``pad_truncate`` / ``attention_mask``: pure array expressions.
 * ``split_segments``: separator positions -> zero-padded segments with an
   inverted mask; rows with the wrong separator count go to a rejects frame
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import compute_once
 from ..session import ensure_checkpoint_dir
+from .joins import found_value, lookup_distinct
 
 PAD_ID = 0
 UNKNOWN_ID = 1
@@ -56,15 +56,13 @@ def build_vocabulary(tokens: DataFrame, token_array: str = "tokens") -> DataFram
 
 def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, token_array: str = "tokens",
                   out: str = "ids") -> DataFrame:
-    """Replace every token by its id (unknown -> 1), keeping token order."""
-    # posexplode_outer keeps rows without tokens (one null row each), so no
-    # join back to the input is needed; collect_list skips the null entries
-    exploded = df.select(key, F.posexplode_outer(token_array).alias("pos", "token"))
-    coded = exploded.join(vocab.select("token", "id"), "token", "left") \
-        .withColumn("id", F.coalesce(F.col("id"), F.lit(UNKNOWN_ID)).cast("bigint"))
-    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "id"))
-    ordered = coded.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_s"))
-    return ordered.select(key, F.col("_s.id").cast("array<bigint>").alias(out))
+    """Replace every token by its id (unknown -> 1), keeping token order; no
+    tokens or null give no ids.  ``key`` identifies a row."""
+    found = lookup_distinct(df, [key], token_array, vocab.select(
+        F.col("token").alias("src"), F.col("id").cast("bigint").alias("tgt")))
+    ids = F.transform(F.coalesce(F.col(token_array), F.array().cast("array<string>")),
+                      lambda t: F.coalesce(found_value(t), F.lit(UNKNOWN_ID).cast("bigint")))
+    return found.select(key, ids.alias(out))
 
 
 def pad_truncate(arr, length: int, pad: int = PAD_ID) -> Column:

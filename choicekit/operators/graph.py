@@ -139,6 +139,19 @@ def substring_target(kg: DataFrame, pairs: DataFrame) -> DataFrame:
                     .alias("n_relations"))
 
 
+def substring_relations(kg: DataFrame, pairs: DataFrame) -> DataFrame:
+    """J6 (+F4, F5) when nothing matches: the edges, but for self edges, of each
+    word none of whose ends contains its target.  One row per (word, edge), not
+    per pair: all such targets of a word share the word's edges."""
+    e = kg.select("start_text", "end_text", "relation", "weight")
+    hit = pairs.join(e, (pairs.word == e.start_text) &
+                     F.col("end_text").contains(F.col("target"))).select("word", "target")
+    words = pairs.join(hit, ["word", "target"], "left_anti").select("word").distinct()
+    return e.where(F.col("end_text") != F.col("start_text")) \
+        .withColumnRenamed("start_text", "word").join(words, "word", "left_semi") \
+        .select("word", "end_text", "relation", "weight")
+
+
 # ------------------------------------------------------------------ S8: JSON
 EDGE_JSON_SCHEMA = ("edges ARRAY<STRUCT<surfaceText: STRING, weight: DOUBLE, "
                     "rel: STRUCT<label: STRING>, end: STRUCT<label: STRING>>>")

@@ -25,25 +25,47 @@ def split_of(key) -> F.Column:
 
 
 # --------------------------------------------------------------------------
-# mc_items: one wide multiple-choice item per document with >= 5 sentences
+# mc_items: one wide multiple-choice item per five consecutive sentences
 # --------------------------------------------------------------------------
+BLOCKS = 1 << 20      # example_id = doc_id * BLOCKS + number of the item in its document
+
+
 def mc_items(spark: SparkSession, sf: str) -> DataFrame:
     return mc_items_from(documents(spark, sf, "doc_id", "text"))
 
 
-def mc_items_from(documents: DataFrame) -> DataFrame:
-    """The item derivation on any documents frame (batch or streaming)."""
+def _sentences(documents: DataFrame) -> DataFrame:
     docs = documents.select("doc_id", "text")
-    snt = compute_once(docs, snt=tx.sentences("text", collapse_whitespace=True))
-    letter = F.when(F.col("doc_id") % 7 == 0, 4).otherwise(F.col("doc_id") % 4)
-    return (snt.where(F.size("snt") >= 5)
-            .select(F.col("doc_id").alias("example_id"),
-                    F.col("text").alias("article"),
-                    F.col("snt")[0].alias("question"),
-                    F.slice("snt", 2, 4).alias("options"),
-                    (F.col("doc_id") % 4).cast("int").alias("correct_answer_id"),
+    return compute_once(docs, snt=tx.sentences("text", collapse_whitespace=True)).drop("text")
+
+
+def mc_items_from(documents: DataFrame) -> DataFrame:
+    """The item derivation on any documents frame (batch or streaming): every
+    five sentences of a document are a passage; its first sentence asks, the
+    others are the options.  ``mc_item_rejects`` holds what is left over."""
+    five = F.transform(F.sequence(F.lit(0), F.floor(F.size("snt") / 5).cast("int") - 1),
+                       lambda b: F.slice("snt", b * 5 + 1, F.lit(5)))
+    s = _sentences(documents).where(F.size("snt") >= 5) \
+        .select("doc_id", F.posexplode(five).alias("b", "s"))
+    n = F.col("doc_id") + F.col("b")
+    letter = F.when(n % 7 == 0, 4).otherwise(n % 4)
+    return s.select((F.col("doc_id") * BLOCKS + F.col("b")).alias("example_id"),
+                    F.array_join("s", " ").alias("article"),
+                    F.col("s")[0].alias("question"),
+                    F.slice("s", 2, 4).alias("options"),
+                    (n % 4).cast("int").alias("correct_answer_id"),
                     F.substring(F.lit("ABCDE"), (letter + 1).cast("int"), 1).alias("answer"),
-                    split_of("doc_id").alias("split")))
+                    split_of("doc_id").alias("split"))
+
+
+def mc_item_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """The sentences after a document's last item, and documents without any."""
+    s = _sentences(documents(spark, sf, "doc_id", "text")) \
+        .select("doc_id", F.coalesce("snt", F.array().cast("array<string>")).alias("snt"))
+    left = F.size("snt") % 5
+    return s.where((left > 0) | (F.size("snt") == 0)).select(
+        "doc_id", left.cast("bigint").alias("n_left"),
+        F.array_join(F.slice("snt", F.size("snt") - left + 1, left), " ").alias("left_over"))
 
 
 # --------------------------------------------------------------------------
@@ -217,11 +239,15 @@ def words_of(c) -> F.Column:
     return F.filter(F.split(F.col(c), WORD_SPLIT, -1), lambda w: w != "")
 
 
+def length_ids(words) -> F.Column:
+    """A token id per word: its length above the reserved ids (0..102)."""
+    return F.transform(words, lambda x: F.length(x) + 102)
+
+
 def token_rows(spark: SparkSession, sf: str, cls: int = 101, sep: int = 102) -> DataFrame:
     d = compute_once(documents(spark, sf, "doc_id", "text"),
-                     w=words_of("text")).drop("text")
-    ids = F.transform("w", lambda x: F.least(F.length(x), F.lit(99)))
-    body = d.where(F.size("w") >= 4).select("doc_id", ids.alias("t"))
+                     w=F.coalesce(words_of("text"), F.array().cast("array<string>"))).drop("text")
+    body = d.select("doc_id", length_ids("w").alias("t"))
     last = F.when(F.col("doc_id") % 9 == 0, F.array().cast("array<int>")) \
         .otherwise(F.array(F.lit(sep)))
     # first segment: the first three words; second: every remaining word
@@ -240,18 +266,22 @@ def _sql(name: str, body: str, deps: tuple[str, ...] = ()) -> None:
     SQL[name] = (body, deps)
 
 
+_sql("mc_sentences", """
+SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'),
+                           lambda y: trim(regexp_replace(y, '\\s+', ' ', 'g'))),
+                           lambda y: y <> '') AS snt
+FROM documents""")
+
 _sql("mc_items", f"""
-SELECT doc_id AS example_id, text AS article, snt[1] AS question, snt[2:5] AS options,
-       CAST(doc_id % 4 AS INTEGER) AS correct_answer_id,
-       substr('ABCDE', CAST(CASE WHEN doc_id % 7 = 0 THEN 4 ELSE doc_id % 4 END AS INTEGER) + 1, 1)
-         AS answer,
+SELECT doc_id * {BLOCKS} + b AS example_id, array_to_string(s, ' ') AS article,
+       s[1] AS question, s[2:5] AS options,
+       CAST((doc_id + b) % 4 AS INTEGER) AS correct_answer_id,
+       substr('ABCDE', CAST(CASE WHEN (doc_id + b) % 7 = 0 THEN 4 ELSE (doc_id + b) % 4 END
+                            AS INTEGER) + 1, 1) AS answer,
        {SPLIT_SQL.format(k='doc_id')} AS split
-FROM (SELECT doc_id, text,
-             list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'),
-                         lambda y: trim(regexp_replace(y, '\\s+', ' ', 'g'))),
-                         lambda y: y <> '') AS snt
-      FROM documents)
-WHERE len(snt) >= 5""")
+FROM (SELECT doc_id, b, snt[5 * b + 1 : 5 * b + 5] AS s
+      FROM (SELECT doc_id, snt, unnest(range(len(snt) // 5)) AS b FROM mc_sentences))""",
+     ("mc_sentences",))
 
 _sql("kg_edges", """
 SELECT p_brand AS start_text, 'en' AS start_lang, n_name AS end_text,
@@ -319,10 +349,9 @@ _sql("token_rows", """
 SELECT doc_id,
        [101] || t[1:3] || [102] || t[4:] ||
        CASE WHEN doc_id % 9 = 0 THEN []::INTEGER[] ELSE [102] END AS ids
-FROM (SELECT doc_id, list_transform(w, lambda x: CAST(least(length(x), 99) AS INTEGER)) AS t
-      FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'),
-                                       lambda x: x <> '') AS w FROM documents)
-      WHERE len(w) >= 4)""")
+FROM (SELECT doc_id, list_transform(w, lambda x: CAST(length(x) + 102 AS INTEGER)) AS t
+      FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r]+'),
+                                       lambda x: x <> '') AS w FROM documents))""")
 
 
 def with_ctes(*names: str) -> str:

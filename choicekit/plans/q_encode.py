@@ -8,28 +8,28 @@ from ..functions import text as tx
 from ..operators import encode as N
 from ..sources.tables import documents
 from . import sqltext as S
-from .fixtures import token_rows, vector_groups, with_ctes, words_of
+from .fixtures import SPLIT_SQL, length_ids, split_of, token_rows, vector_groups, with_ctes, words_of
 from .registry import register
 
 PAD_LEN = 512      # sequence length of the reference's longest encoder
 
 
 @register("vocab_encode", f"""
-WITH tok AS (SELECT doc_id, lang, {S.tokens(S.preprocess('text'))} AS t FROM documents),
-ex AS (SELECT doc_id, lang, unnest(t) AS token, unnest(range(len(t))) AS pos FROM tok),
+WITH tok AS (SELECT doc_id, {S.tokens(S.preprocess('text'))} AS t FROM documents),
+ex AS (SELECT doc_id, unnest(t) AS token, unnest(range(len(t))) AS pos FROM tok),
 vocab AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) + 1 AS id
-          FROM ex WHERE lang = 'en' GROUP BY token),
+          FROM ex WHERE {SPLIT_SQL.format(k='doc_id')} = 'train' GROUP BY token),
 enc AS (SELECT ex.doc_id, list(coalesce(v.id, 1) ORDER BY ex.pos) AS ids
         FROM ex LEFT JOIN vocab v ON ex.token = v.token GROUP BY ex.doc_id)
 SELECT tok.doc_id, CAST(coalesce(len(enc.ids), 0) AS BIGINT) AS n_ids,
        coalesce(array_to_string(enc.ids, ' '), '') AS ids
 FROM tok LEFT JOIN enc ON tok.doc_id = enc.doc_id""")
 def q_vocab_encode(spark, sf):
-    """Vocabulary learnt on English documents, applied to all documents;
-    words never seen in English text encode as the unknown id."""
-    docs = documents(spark, sf, "doc_id", "lang", "text").select(
-        "doc_id", "lang", tx.word_tokens(tx.preprocess_text("text")).alias("tokens"))
-    vocab = N.build_vocabulary(docs.where(F.col("lang") == "en"))
+    """Vocabulary learnt on the train split of all languages, applied to all
+    documents; words never seen in training encode as the unknown id."""
+    docs = documents(spark, sf, "doc_id", "text").select(
+        "doc_id", tx.word_tokens(tx.preprocess_text("text")).alias("tokens"))
+    vocab = N.build_vocabulary(docs.where(split_of("doc_id") == "train"))
     enc = N.encode_tokens(docs, vocab, "doc_id")
     return enc.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"),
                       F.array_join("ids", " ").alias("ids"))
@@ -41,11 +41,10 @@ SELECT doc_id, array_to_string(list_resize(t[1:{PAD_LEN}], {PAD_LEN}, 0), ' ') A
                        ' ') AS mask
 FROM (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'),
                                                 lambda w: w <> ''),
-                                    lambda w: CAST(least(length(w), 99) AS INTEGER)) AS t
+                                    lambda w: CAST(length(w) + 102 AS INTEGER)) AS t
       FROM documents)""")
 def q_pad_truncate_mask(spark, sf):
-    lens = F.transform(words_of("text"), lambda w: F.least(F.length(w), F.lit(99)))
-    d = documents(spark, sf, "doc_id", "text").select("doc_id", lens.alias("t"))
+    d = documents(spark, sf, "doc_id", "text").select("doc_id", length_ids(words_of("text")).alias("t"))
     return d.select("doc_id", F.array_join(N.pad_truncate("t", PAD_LEN), " ").alias("ids"),
                     F.array_join(N.attention_mask("t", PAD_LEN), " ").alias("mask"))
 

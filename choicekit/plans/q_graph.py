@@ -105,6 +105,16 @@ def q_kg_substring_target(spark, sf):
     return G.substring_target(kg_edges(spark, sf), _substring_pairs(spark, sf))
 
 
+@register("kg_substring_relations", with_ctes("kg_edges", "kg_pairs") + """,
+sp AS (SELECT DISTINCT word, string_split(target, ' ')[-1] AS target FROM kg_pairs),
+open AS (SELECT DISTINCT word FROM sp WHERE NOT EXISTS (
+           SELECT 1 FROM kg_edges e WHERE sp.word = e.start_text AND contains(e.end_text, sp.target)))
+SELECT e.start_text AS word, e.end_text, e.relation, e.weight
+FROM kg_edges e JOIN open o ON e.start_text = o.word WHERE e.end_text <> e.start_text""")
+def q_kg_substring_relations(spark, sf):
+    return G.substring_relations(kg_edges(spark, sf), _substring_pairs(spark, sf))
+
+
 @register("kg_topk_weight", with_ctes("kg_edges") + f"""
 SELECT word, end_text, relation, weight,
        CAST(row_number() OVER (PARTITION BY word ORDER BY weight, end_text, relation) - 1

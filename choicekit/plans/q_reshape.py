@@ -7,7 +7,7 @@ from ..functions import text as tx
 from ..operators import joins as J
 from ..operators import reshape as R
 from ..sources.tables import table
-from .fixtures import mc_items, with_ctes, words_of
+from .fixtures import length_ids, mc_item_rejects, mc_items, with_ctes, words_of
 from .registry import register
 
 # ---------------------------------------------------------------- helpers (SQL)
@@ -35,6 +35,15 @@ def translated_sql(delimiter: str) -> str:
             f" '{delimiter}') AS translated_answers FROM mc_items)")
 
 
+@register("mc_item_rejects", with_ctes("mc_sentences") + """
+SELECT doc_id, CAST(len(s) % 5 AS BIGINT) AS n_left,
+       array_to_string(s[len(s) - len(s) % 5 + 1 : len(s)], ' ') AS left_over
+FROM (SELECT doc_id, coalesce(snt, []::VARCHAR[]) AS s FROM mc_sentences)
+WHERE len(s) % 5 > 0 OR len(s) = 0""")
+def q_mc_item_rejects(spark, sf):
+    return mc_item_rejects(spark, sf)
+
+
 # ---------------------------------------------------------------- E1-E4
 @register("binarise_by_index", with_ctes("mc_items") + f"""
 SELECT example_id, split, CAST(pos AS BIGINT) AS choice_idx, question, opt AS answer,
@@ -92,20 +101,23 @@ def q_choice_pairs(spark, sf):
 def two_choice_items(spark, sf):
     """Two-choice items: premise, cause/effect question, two choices, label."""
     m = mc_items(spark, sf)
-    return m.select("example_id", F.col("question").alias("premise"),
-                    F.when(F.col("example_id") % 2 == 0, "cause").otherwise("effect")
-                    .alias("question"),
-                    F.col("options")[0].alias("choice1"), F.col("options")[1].alias("choice2"),
+    # the four options of an item make two two-choice items
+    two = F.array(F.slice("options", 1, 2), F.slice("options", 3, 2))
+    p = m.select("example_id", "question", "correct_answer_id", F.posexplode(two).alias("p", "o"))
+    return p.select((F.col("example_id") * 2 + F.col("p")).alias("example_id"),
+                    F.col("question").alias("premise"),
+                    F.when(F.col("p") == 0, "cause").otherwise("effect").alias("question"),
+                    F.col("o")[0].alias("choice1"), F.col("o")[1].alias("choice2"),
                     (F.col("correct_answer_id") % 2).alias("label"))
 
 
 @register("two_choice_pairs", with_ctes("mc_items") + """
 SELECT example_id, CAST(pos AS BIGINT) AS choice_idx,
-       concat_ws(' ', question, CASE WHEN example_id % 2 = 0 THEN 'cause' ELSE 'effect' END)
-         AS first,
+       concat_ws(' ', question, CASE WHEN p = 0 THEN 'cause' ELSE 'effect' END) AS first,
        second
-FROM (SELECT *, unnest([options[1], options[2]]) AS second, unnest(range(2)) AS pos
-      FROM mc_items)""")
+FROM (SELECT example_id * 2 + p AS example_id, question, p,
+             unnest([options[2 * p + 1], options[2 * p + 2]]) AS second, unnest(range(2)) AS pos
+      FROM (SELECT *, unnest(range(2)) AS p FROM mc_items))""")
 def q_two_choice_pairs(spark, sf):
     return R.two_choice_pairs(two_choice_items(spark, sf))
 
@@ -126,8 +138,7 @@ CHOICE_LEN = 60    # per-choice length of the reference's two-choice encoder
 
 
 def padded_word_lengths(c, length: int = CHOICE_LEN):
-    lens = F.transform(words_of(c) if isinstance(c, str) else c,
-                       lambda x: F.least(F.length(x), F.lit(99)))
+    lens = length_ids(words_of(c) if isinstance(c, str) else c)
     return F.slice(F.concat(F.slice(lens, 1, length), F.array_repeat(F.lit(0), length)),
                    1, length)
 
@@ -140,7 +151,7 @@ FROM (SELECT example_id, n, flat, unnest(range(n)) AS i
                    flatten(list_transform(options, lambda o: list_resize(
                      list_transform(list_filter(regexp_split_to_array(o, '[ \\t\\n\\r]+'),
                                                 lambda w: w <> ''),
-                                    lambda w: CAST(least(length(w), 99) AS INTEGER))[1:{CHOICE_LEN}],
+                                    lambda w: CAST(length(w) + 102 AS INTEGER))[1:{CHOICE_LEN}],
                      {CHOICE_LEN}, 0))) AS flat
             FROM mc_items))""")
 def q_unnest_choices(spark, sf):
@@ -171,7 +182,7 @@ def flat_rows(spark, sf):
 def flat_rows_of(m):
     """Flat rows in the third dataset's form (question, answer, context, correct)
     with its extra columns dropped in every split (B3)."""
-    return m.select("split", "question", F.col("options")[0].alias("answer"),
+    return m.select("split", "question", F.explode("options").alias("answer"),
                     F.col("article").alias("context"), F.lit(1).alias("correct"),
                     F.col("article").alias("text"), F.lit("given").alias("reason")) \
         .drop("text", "reason")
@@ -189,7 +200,7 @@ SELECT * FROM (
          CAST(CASE WHEN pos = {LETTER_SQL} THEN 1 ELSE 0 END AS INTEGER) AS correct
   FROM {UNNEST_OPTIONS}
   UNION ALL BY NAME
-  SELECT 'flat' AS source, split, question, options[1] AS answer, article AS context,
+  SELECT 'flat' AS source, split, question, unnest(options) AS answer, article AS context,
          1 AS correct
   FROM mc_items)""")
 def q_union_missing_columns(spark, sf):

@@ -102,6 +102,13 @@ def q_cluster_groups(spark, sf):
     return C.cluster_summary(_assigned(spark, sf), _sims(spark, sf))
 
 
+@register("cluster_members", _with() + """
+SELECT a.doc_id, a.cluster, a.vec_id, s.sim
+FROM assigned a JOIN sims s ON a.doc_id = s.doc_id AND a.vec_id = s.vec_id""")
+def q_cluster_members(spark, sf):
+    return C.cluster_members(_assigned(spark, sf), _sims(spark, sf))
+
+
 @register("cluster_representatives", _with() + "SELECT * FROM reps")
 def q_cluster_representatives(spark, sf):
     return C.representatives(_assigned(spark, sf), _sims(spark, sf))
