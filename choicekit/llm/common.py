@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 4 << 20          # text bytes tokenised at once in a task
+SLICE_BYTES = 2 << 20          # text bytes tokenised at once in a task
 FILTER_WORDS = 1 << 16         # rows of a document-id bit filter: 64 bits each, 512 KB in all
 
 
@@ -79,6 +79,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text",
            limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches holding at most ``limit`` bytes of text, or one row."""
     for b in batches:
+        give_back()
         n = np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0)).astype(np.int64)
         end, start, total = len(n), 0, np.cumsum(n)
         while start < end:
@@ -86,6 +87,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text",
             stop = max(start + 1, int(np.searchsorted(total, base + limit, side="right")))
             yield b.slice(start, stop - start)
             start = stop
+    give_back()
 
 
 def give_back() -> None:
