@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, split_by_ids, stage, tokens
+from .common import give_back, mix, pieces, split_by_ids, stage, tokens
 from .components import components
 
 SHINGLE = 5
@@ -89,6 +89,9 @@ def shingle_sets(batch: pa.RecordBatch) -> list[np.ndarray]:
     return out
 
 
+ROWS = 128                 # rows of a batch taken up at once where pairs are compared
+
+
 def _node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches):
         sets = shingle_sets(b)
@@ -210,6 +213,13 @@ def tile_edges(ids: np.ndarray, texts: list, first: int | None) -> list[tuple[in
     return [(int(ids[i]), int(ids[label[i]])) for i in range(n) if label[i] != i]
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of few rows: only their texts become Python strings at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, ROWS):
+            yield b.slice(i, ROWS)
+
+
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (tile, side, id, text) sorted by tile and side; a tile may span batches."""
     def done(rows):
@@ -218,7 +228,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return tile_edges(ids, [r[3] for r in rows], a if a < len(rows) else None)
 
     rows: list = []
-    for b in batches:
+    for b in _few(batches):
         out = []
         for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if rows and r[0] != rows[-1][0]:
@@ -228,6 +238,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _edges(out)
     if rows:
         yield _edges(done(rows))
+    give_back()
 
 
 def _edges(pairs: list) -> pa.RecordBatch:
@@ -236,13 +247,14 @@ def _edges(pairs: list) -> pa.RecordBatch:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in _few(batches):
         out = []
         for x, y, s, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
             p, q = word_shingles(s), word_shingles(t)
             if linked(len(p), len(q), len(p & q)):
                 out.append((x, y))
         yield _edges(out)
+    give_back()
 
 
 def segment_costs(shared: DataFrame) -> DataFrame:
