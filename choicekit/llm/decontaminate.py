@@ -9,11 +9,17 @@ length, so a whole copy of it always holds a window with the very same fingerpri
 
 Multi-index search: the radii of the four 16-bit blocks, each plus one, add up to more than
 ``RADIUS``, so two fingerprints within ``RADIUS`` bits are within its radius in some block,
-and tables of all such block values lead to every item within the radius.  A hit is then
-verified exactly: weighted Jaccard similarity (sum of the smaller counts over sum of the
-larger) of the item's shingles and the best window of the item's own length near the hit,
-at least ``SIMILARITY``.  Windows start up to three words apart (a twelfth of their length),
-never more than an item has windows; the search near a hit covers all starts between.
+and tables of all such block values lead to every item within the radius.  Windows start up
+to three words apart (a twelfth of their length), never more than an item has windows.
+
+Fingerprints of similar bags can be more than ``RADIUS`` bits apart, so each item also has
+keys: so many of its shingles, the rarest of the benchmark first, that a bag of similarity
+``SIMILARITY`` cannot lack all of them.  Every shingle of a document is looked up among the
+keys, which loses no passage.
+
+A hit is verified exactly: weighted Jaccard similarity (sum of the smaller counts over sum
+of the larger) of the item's shingles and of each window of the item's own length that
+holds the key or is near the fingerprint's window; the best is at least ``SIMILARITY``.
 
 Items are sent to the tasks ``ITEMS`` at a time; a larger benchmark takes more passes.
 
@@ -24,6 +30,7 @@ result; other columns are kept by ``clean`` and ignored elsewhere.
 """
 from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -64,15 +71,6 @@ def fingerprint(ones: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(ones > n // 2, axis=-1).view(np.uint64)[..., 0]
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two bags of shingles."""
-    x, n = np.unique(a, return_counts=True)
-    y, m = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    small = np.minimum(n[i], m[j]).sum()
-    return float(small / max(1, len(a) + len(b) - small))
-
-
 class Index:
     """Items of one shingle length and length class."""
 
@@ -118,6 +116,41 @@ class Index:
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
 
+class Keys:
+    """Shingles of the items of one shingle length.  An item of m shingles and a window of its
+    length differ by m (1 - SIMILARITY) / (1 + SIMILARITY) occurrences at the most; a whole
+    document shorter than the item lacks m (1 - SIMILARITY) of them at the most."""
+
+    def __init__(self, classes: list[Index], k: int):
+        own = [(number, j, *np.unique(s, return_counts=True), n, len(s))
+               for number, c in enumerate(classes) if c.k == k for j, (_, n, s) in enumerate(c.items)]
+        value, total = np.unique(np.concatenate([x[2] for x in own]), return_counts=True)
+        rows = []
+        for number, j, x, count, n, m in own:
+            order = np.lexsort((x, total[np.searchsorted(value, x)]))
+            end = np.cumsum(count[order])
+            whole, short = (int(np.searchsorted(end, int(m * lack + 1e-9), side="right")) + 1
+                            for lack in ((1 - SIMILARITY) / (1 + SIMILARITY), 1 - SIMILARITY))
+            rows += [(x[i], number, j, n, at >= whole) for at, i in enumerate(order[:short])]
+        rows.sort()
+        self.value = np.array([r[0] for r in rows], np.uint64)
+        self.item = np.array([r[1:] for r in rows], np.int64)      # class, item, words, short only
+        self.some = np.zeros(1 << 16, bool)
+        self.some[self.value & np.uint64(0xFFFF)] = True
+
+    def search(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in h, row of ``item``) of every key among the shingles h."""
+        at = np.flatnonzero(self.some[h & np.uint64(0xFFFF)])
+        low = np.searchsorted(self.value, h[at])
+        n = np.searchsorted(self.value, h[at], side="right") - low
+        end = np.cumsum(n)
+        return np.repeat(at, n), np.repeat(low - end + n, n) + np.arange(end[-1] if len(end) else 0)
+
+
+def keys_of(classes: list[Index]) -> dict[int, Keys]:
+    return {k: Keys(classes, k) for k in sorted({c.k for c in classes})}
+
+
 def build(items: list[tuple[int, str | None]]) -> list[Index]:
     classes: dict = {}
     for item_id, text in items:
@@ -155,23 +188,41 @@ def _streams(offsets: np.ndarray, overlap: int):
         yield group
 
 
-def best_window(words: np.ndarray, item, k: int, at: int, slack: int) -> tuple[float, int]:
-    """Similarity and start of the item-long window most like the item within slack of at."""
+def best_window(words: np.ndarray, item, k: int, spans: list[tuple[int, int]]) -> tuple[float, int]:
+    """Similarity and start of the item-long window most like the item, of those that start
+    within the spans."""
     _, n, s = item
-    low = max(0, min(at - slack, len(words) - n))
-    high = max(low, min(at + slack, len(words) - n))
-    h = shingles(words[low:high + n], k)
-    m = min(n, len(words)) - k + 1
-    return max(((similarity(s, h[a:a + m]), low + a) for a in range(high - low + 1)),
-               key=lambda x: (x[0], -x[1]))
-
-
-def matches(batch: pa.RecordBatch, classes: list[Index]) -> list[tuple]:
+    last, m = max(0, len(words) - n), min(n, len(words)) - k + 1
+    merged: list = []
+    for low, high in sorted((max(0, min(a, last)), max(0, min(z, last))) for a, z in spans):
+        if merged and low <= merged[-1][1] + 1:
+            merged[-1][1] = max(merged[-1][1], high)
+        else:
+            merged.append([low, high])
+    want = Counter(s.tolist())
+    best, start = 0, 0
+    for low, high in merged:
+        h = shingles(words[low:high + n], k).tolist()
+        left, both = dict(want), 0           # of the item's occurrences, those the window lacks
+        for i, x in enumerate(h):
+            if i >= m and h[i - m] in left:
+                y = h[i - m]
+                left[y] += 1
+                both -= left[y] > 0
+            if x in left:
+                both += left[x] > 0
+                left[x] -= 1
+            if i >= m - 1 and both > best:
+                best, start = both, low + i - m + 1
+    return best / max(1, len(s) + m - best), start
+
+
+def matches(batch: pa.RecordBatch, classes: list[Index], keys: dict[int, Keys]) -> list[tuple]:
     """(row, item_id, similarity, start word, words) of every item found in every text."""
     t = tokens(batch.column("text"))
     words = word_hashes(t.words.to_pylist())[t.codes] if len(t.codes) else np.zeros(0, np.uint64)
     longest = max((c.words for c in classes), default=0)
-    hits: dict = {}                      # (text, class, item): (start, distance)
+    hits: dict = {}                      # (text, class, item): (first, last) start to verify
     for group in _streams(t.offsets, 2 * longest):
         w = np.concatenate([words[t.offsets[d] + a:t.offsets[d] + a + n] for d, a, n in group])
         size = np.array([n for _, _, n in group])
@@ -183,34 +234,38 @@ def matches(batch: pa.RecordBatch, classes: list[Index]) -> list[tuple]:
                 kind = np.int32 if len(h) > 30_000 else np.int16
                 sums[c.k] = np.zeros((len(h) + 1, 64), kind)
                 np.cumsum(votes(h), axis=0, dtype=kind, out=sums[c.k][1:])
+                place, row = keys[c.k].search(h)
+                g = np.searchsorted(first, place, side="right") - 1
+                for i, p, (cls, j, n, short) in zip(g.tolist(), place.tolist(), keys[c.k].item[row].tolist(),
+                                                    strict=True):
+                    d, a, size_ = group[i]
+                    p -= int(first[i])
+                    if p + c.k <= size_ and (not short or t.offsets[d + 1] - t.offsets[d] < n):
+                        hits.setdefault((d, cls, j), set()).add((a + p - (n - c.k), a + p))
             s, n = sums[c.k], c.words - c.k + 1
-            step = max(1, min(3, c.words // 12))
+            step, slack = max(1, min(3, c.words // 12)), 4 + c.words // 8
             # windows over document borders are looked up too: verification reads one document
             if len(s) > n:
                 far = c.search(fingerprint(s[n::step] - s[:-n:step], n))
-                for i, j, dist in far.tolist():
+                for i, j, _ in far.tolist():
                     g = int(np.searchsorted(first, i * step + c.words // 2, side="right")) - 1
                     d, a, _ = group[g]
-                    hits.setdefault((d, number, j), []).append((a + i * step - int(first[g]), dist))
+                    at = a + i * step - int(first[g])
+                    hits.setdefault((d, number, j), set()).add((at - slack, at + slack))
             for g in np.flatnonzero((size < c.words) & (size >= max(c.k, SIMILARITY * c.words))):
                 m = size[g] - c.k + 1     # a document shorter than the window
-                for _, j, dist in c.search(fingerprint((s[first[g] + m] - s[first[g]])[None, :], m)).tolist():
-                    hits.setdefault((group[g][0], number, j), []).append((group[g][1], dist))
+                for _, j, _ in c.search(fingerprint((s[first[g] + m] - s[first[g]])[None, :], m)).tolist():
+                    hits.setdefault((group[g][0], number, j), set()).add((group[g][1] - slack, group[g][1] + slack))
     found: dict = {}
-    for (d, number, j), places in hits.items():
+    for (d, number, j), spans in hits.items():
         c = classes[number]
-        item, own, slack = c.items[j], words[t.offsets[d]:t.offsets[d + 1]], 4 + c.words // 8
+        item, own = c.items[j], words[t.offsets[d]:t.offsets[d + 1]]
         if len(own) < c.k:
             continue
-        run: list = []                    # hits near each other are one place, at its closest
-        for at, dist in [*sorted(places), (1 << 60, 0)]:
-            if run and at - run[-1][0] > slack:
-                sim, start = best_window(own, item, c.k, min(run, key=lambda x: x[1])[0], slack)
-                old = found.get((d, item[0]))
-                if sim >= SIMILARITY and (old is None or (-sim, start) < (-old[0], old[1])):
-                    found[d, item[0]] = (sim, start, min(item[1], len(own)))
-                run = []
-            run.append((at, dist))
+        sim, start = best_window(own, item, c.k, list(spans))
+        old = found.get((d, item[0]))
+        if sim >= SIMILARITY and (old is None or (-sim, start) < (-old[0], old[1])):
+            found[d, item[0]] = (sim, start, min(item[1], len(own)))
     return [(d, i, *v) for (d, i), v in sorted(found.items(), key=lambda x: (x[0][0], str(x[0][1])))]
 
 
@@ -227,11 +282,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, per_pass: int = ITEMS) -
     for i in range(passes):
         classes = build(sorted(((r.item_id, r.text) for r in items.where(part == i).collect()),
                                key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")))
-        sent = docs.sparkSession.sparkContext.broadcast(classes)
+        sent = docs.sparkSession.sparkContext.broadcast((classes, keys_of(classes)))
 
         def rows(batches, sent=sent):
             for b in pieces(batches):
-                got = matches(b, sent.value)
+                got = matches(b, *sent.value)
                 ids = b.column("doc_id").to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[g[0]] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()),

@@ -441,6 +441,27 @@ def test_decontamination_hard_rows(spark):
     assert left.columns == d.columns and {r.doc_id for r in left.collect()} == {x[0] for x in docs} - {x[0] for x in want}
 
 
+def test_decontamination_finds_edited_items(spark):
+    """One changed word in 50 to 60, two in 97 to 100, a dropped and an added word: near 0.8."""
+    rng = np.random.default_rng(6)
+    items, docs = [], []
+    for i in range(400):
+        n = int(rng.integers(50, 61) if i % 2 else rng.integers(97, 101))
+        w = [f"i{i}_{j}" for j in range(n)]
+        items.append((i, " ".join(w)))
+        for at in rng.choice(np.arange(5, n - 5), 1 if i % 2 else 2, replace=False):
+            w[at] = "changed"
+        if i % 7 == 0:
+            w = w[:20] + w[21:] if i % 14 else [*w[:20], "more", *w[20:]]
+        pad = [f"p{i}_{j}" for j in range(int(rng.integers(0, 40)))]
+        docs.append((i, " ".join(pad + w + pad)))
+    want = {x for d, item in zip(docs, items, strict=True) for x in brute_leaks([d], [item])}
+    assert 200 < len(want) <= 400
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b).collect()} == want
+
+
 def test_decontamination_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in docs_of(spark, sf_dir).collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
