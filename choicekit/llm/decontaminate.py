@@ -25,7 +25,7 @@ Items are sent to the tasks ``ITEMS`` at a time; a larger benchmark takes more p
 
 Defined results: null or blank texts and items match nothing; an item of fewer words than
 five is compared by shingles of all its words; a document shorter than a window is one
-window; repeated rows and items each give their rows; an empty table gives an empty
+window; repeated rows and items each give their rows, also rows with a null id; an empty table gives an empty
 result; other columns are kept by ``clean`` and ignored elsewhere.
 """
 from __future__ import annotations
@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, split_by_ids, stage, tokens
+from .common import mix, pieces, stage, tokens
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -272,17 +272,22 @@ def matches(batch: pa.RecordBatch, classes: list[Index], keys: dict[int, Keys])
 SCHEMA = "doc_id long, item_id long, similarity double, start_word long, n_words long"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, per_pass: int = ITEMS) -> DataFrame:
-    """A row per document and benchmark item found in it: doc_id, item_id, similarity,
-    start_word (from 0) and n_words of the window most like the item."""
+def _passes(docs: DataFrame, benchmark: DataFrame, per_pass: int):
+    """A broadcast of (classes, keys) for each pass of the benchmark."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     passes = max(1, -(-items.count() // per_pass))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
-    out = None
     for i in range(passes):
         classes = build(sorted(((r.item_id, r.text) for r in items.where(part == i).collect()),
                                key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")))
-        sent = docs.sparkSession.sparkContext.broadcast((classes, keys_of(classes)))
+        yield docs.sparkSession.sparkContext.broadcast((classes, keys_of(classes)))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, per_pass: int = ITEMS) -> DataFrame:
+    """A row per document and benchmark item found in it: doc_id, item_id, similarity,
+    start_word (from 0) and n_words of the window most like the item."""
+    out = None
+    for sent in _passes(docs, benchmark, per_pass):
 
         def rows(batches, sent=sent):
             for b in pieces(batches):
@@ -299,8 +304,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, per_pass: int = ITEMS) -
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents that hold no benchmark item, with all their columns."""
-    bad = stage(contaminated(docs, benchmark).select("doc_id").distinct(), "leaks")
-    maybe, never = split_by_ids(docs, bad, "doc_id")
-    return never.union(maybe.join(bad, "doc_id", "left_anti").select(*docs.columns))
+def clean(docs: DataFrame, benchmark: DataFrame, per_pass: int = ITEMS) -> DataFrame:
+    """Documents that hold no benchmark item, with all their columns.  Each row is judged by
+    its own text, whatever its doc_id; what a pass leaves is staged for the next one."""
+    out = None
+    for sent in _passes(docs, benchmark, per_pass):
+
+        def rows(batches, sent=sent):
+            for b in pieces(batches):
+                keep = np.ones(b.num_rows, bool)
+                keep[[g[0] for g in matches(b, *sent.value)]] = False
+                yield b.filter(pa.array(keep))
+
+        out = (docs if out is None else stage(out, "cleaned")).mapInArrow(rows, docs.schema)
+    return out

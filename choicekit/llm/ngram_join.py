@@ -21,7 +21,8 @@ Exact copies collapse first, by a 128-bit digest of the sorted shingle set.
 
 Defined results: null or blank text has an empty set and links with nothing;
 fewer words than five make one shingle of all words; repeated rows of one id
-stay one node; an empty table gives an empty result; other columns are ignored.
+stay one node; a row whose id is null is a document of its own, and its component, when
+no id is in it, has one above all ids; an empty table gives an empty result; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -302,9 +303,27 @@ def meet(buys: DataFrame, index: DataFrame) -> DataFrame:
     return most.union(rest).where("center <> home AND node <> other").select("node", "role", "other")
 
 
+def named(docs: DataFrame, id_col: str, new: str) -> tuple[DataFrame, int | None]:
+    """``docs`` with the column ``new``: the id as a long, and for each row whose id is null one
+    of its own above all ids; and the largest id (None: no id is null)."""
+    docs = docs.withColumn(new, F.col(id_col).cast("long"))
+    if docs.where(F.col(new).isNull()).isEmpty():
+        return docs, None
+    top = docs.agg(F.coalesce(F.max(new), F.lit(-1).cast("long"))).first()[0]
+    # staged, so the ids stay what they are; an overflow is an error
+    more = stage(docs.where(F.col(new).isNull()).withColumn(
+        new, F.lit(top + 1).cast("long") + F.monotonically_increasing_id()), "named")
+    return docs.where(F.col(new).isNotNull()).union(more), top
+
+
 def with_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs, top = named(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "doc_id")
+    out = _with_components(docs)
+    return out if top is None else out.withColumn("doc_id", F.when(F.col("doc_id") <= top, F.col("doc_id")))
+
+
+def _with_components(docs: DataFrame) -> DataFrame:
     base = stage(docs.mapInArrow(_node_rows, "doc_id long, n long, node long, more long"), "nodes")
     full = base.where("n > 0")
     reps = full.groupBy("node", "more").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
@@ -403,7 +422,8 @@ def with_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame) -> DataFrame:
     """Documents without those whose component holds a smaller doc_id, and one row of
     each document repeated whole.  Documents without words all stay."""
-    drop = with_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    rows, _ = named(docs, "doc_id", "__row")
+    drop = with_components(rows, "__row").where("component_id <> doc_id").select(F.col("doc_id").alias("__row")).distinct()
     drop = stage(drop, "drop")
-    maybe, never = split_by_ids(docs, drop, "doc_id")
-    return never.union(maybe.join(drop, "doc_id", "left_anti").select(*docs.columns))
+    maybe, never = split_by_ids(rows, drop, "__row")
+    return never.select(*docs.columns).union(maybe.join(drop, "__row", "left_anti").select(*docs.columns))

@@ -10,7 +10,7 @@ the sum of P(grade > k).
 
 Defined results: null or blank text has no feature and the severity of the intercepts;
 labels that are null, or of documents that don't exist, take no part; without both label
-values nothing is rejected and severity is 0; repeated rows get equal results; an empty
+values nothing is rejected and severity is 0; repeated rows get equal results, rows with a null id results of their own; an empty
 table gives an empty result; other columns are kept by ``reject`` and ignored elsewhere.
 """
 from __future__ import annotations
@@ -140,24 +140,34 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return Model(ids[order[some]][by], w[some][by], t, float(np.median(best)))
 
 
+def _scorer(model: Model):
+    """The function of a slice to its thresholds' probabilities, a row of P(grade > k) each."""
+    table = dict(zip(model.ids.tolist(), range(len(model.ids)), strict=True))
+    w, t = model.weights, model.thresholds
+
+    def probabilities(b: pa.RecordBatch) -> np.ndarray:
+        k = tokens(b.column("text"))
+        hit = [[table[f] for f in word_features(x) if f in table] for x in k.words.to_pylist()]
+        any_ = np.fromiter(map(bool, hit), bool, len(hit))
+        doc = np.repeat(np.arange(b.num_rows), np.diff(k.offsets))
+        here = any_[k.codes] if len(k.codes) else np.zeros(0, bool)
+        pairs = {(d, f) for d, c in zip(doc[here].tolist(), k.codes[here].tolist(), strict=True)
+                 for f in hit[c]}
+        x = np.zeros(b.num_rows)
+        for d, f in sorted(pairs):
+            x[d] += w[f]
+        return 1 / (1 + np.exp(-np.clip(x[:, None] - t[None, :], -40, 40)))
+
+    return probabilities
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, severity (0 to 2), p_toxic, toxic (boolean) of every row."""
-    table = dict(zip(model.ids.tolist(), range(len(model.ids)), strict=True))
-    w, t, cut = model.weights, model.thresholds, model.cut
+    probabilities, cut = _scorer(model), model.cut
 
     def rows(batches):
         for b in pieces(batches):
-            k = tokens(b.column("text"))
-            hit = [[table[f] for f in word_features(x) if f in table] for x in k.words.to_pylist()]
-            any_ = np.fromiter(map(bool, hit), bool, len(hit))
-            doc = np.repeat(np.arange(b.num_rows), np.diff(k.offsets))
-            here = any_[k.codes] if len(k.codes) else np.zeros(0, bool)
-            pairs = {(d, f) for d, c in zip(doc[here].tolist(), k.codes[here].tolist(), strict=True)
-                     for f in hit[c]}
-            x = np.zeros(b.num_rows)
-            for d, f in sorted(pairs):
-                x[d] += w[f]
-            p = 1 / (1 + np.exp(-np.clip(x[:, None] - t[None, :], -40, 40)))
+            p = probabilities(b)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array(p[:, 0] >= cut)],
                 ["doc_id", "severity", "p_toxic", "toxic"])
@@ -167,8 +177,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
-    """Documents that aren't toxic, with all their columns."""
-    from .common import split_by_ids, stage
-    bad = stage(score(docs, model).where("toxic").select("doc_id").distinct(), "toxic")
-    maybe, never = split_by_ids(docs, bad, "doc_id")
-    return never.union(maybe.join(bad, "doc_id", "left_anti").select(*docs.columns))
+    """Documents that aren't toxic, with all their columns.  Each row is judged by its own
+    text, whatever its doc_id."""
+    probabilities, cut = _scorer(model), model.cut
+
+    def rows(batches):
+        for b in pieces(batches):
+            yield b.filter(pa.array(probabilities(b)[:, 0] < cut))
+
+    return docs.mapInArrow(rows, docs.schema)

@@ -469,6 +469,39 @@ def test_decontamination_table(spark, sf_dir):
     assert {(r.doc_id, r.item_id) for r in got} == brute_leaks(rows, items)
 
 
+def test_null_ids_are_decided_too(spark):
+    text = lambda name, n=60: " ".join(f"{name}{j}" for j in range(n))
+    rows = [(1, text("a")), (None, text("b")), (None, text("a")), (None, None), (None, None)]
+    items = spark.createDataFrame([(7, text("b")), (8, text("c"))], "item_id long, text string")
+    docs = spark.createDataFrame([(i, t, "en", "a", 0, "x") for i, t in rows], DOC)
+    for per_pass in ((), (1,)):
+        left = decontaminate.clean(docs, items, *per_pass)
+        assert left.columns == docs.columns
+        assert Counter(r.text for r in left.collect()) == Counter({text("a"): 2, None: 2})
+
+    model = toxicity.Model(np.array(sorted(toxicity.word_features(b"b3"))), np.full(len(toxicity.word_features(b"b3")), 9.0),
+                           np.array([1.0, 2.0]), 0.5)
+    assert Counter(r.text for r in toxicity.reject(docs, model).collect()) == Counter({text("a"): 2, None: 2})
+
+    w = text("d", 110).split()                 # the first and last are linked by the middle one alone
+    chain = [" ".join(w[i:i + 90]) for i in (0, 5, 10)]
+    near = [(3, chain[0]), (None, chain[1]), (4, chain[2]), (None, chain[1]), (None, text("e")), (None, text("e")),
+            (None, text("f")), (None, None), (None, " ")]
+    want = brute_components([(i if i is not None else 100 + k, t) for k, (i, t) in enumerate(near)])
+    assert want[4][1] == 3 and brute_components([(3, chain[0]), (4, chain[2])])[4][1] == 4
+    docs = spark.createDataFrame([(i, t, "en", "a", 0, "x") for i, t in near], DOC)
+    got = ngram_join.with_components(docs).collect()
+    assert len(got) == len(near)
+    sizes = lambda c: sorted(Counter(c).values())
+    assert sizes(r.component_id for r in got) == sizes(c for _, c in want.values())
+    assert {(r.doc_id, r.component_id) for r in got if r.doc_id is not None} == {(3, 3), (4, 3)}
+    assert sum(r.doc_id is None and r.component_id == 3 for r in got) == 2
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(
+        [(3, chain[0]), (None, text("e")), (None, text("f")), (None, None), (None, " ")])
+
+
 def test_empty_tables(spark):
     docs = hard_docs(spark).where("doc_id < 0")
     items = spark.createDataFrame([], "item_id long, text string")
