@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import give_back, mix, pieces, split_by_ids, stage, tokens
+from .common import give_back, mix, n_words, pieces, split_by_ids, stage, tokens
 from .components import components
 
 SHINGLE = 5
@@ -421,9 +421,16 @@ def _with_components(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """Documents without those whose component holds a smaller doc_id, and one row of
-    each document repeated whole.  Documents without words all stay."""
+    each document repeated whole (the same doc_id and text).  Documents without words all stay."""
     rows, _ = named(docs, "doc_id", "__row")
-    drop = with_components(rows, "__row").where("component_id <> doc_id").select(F.col("doc_id").alias("__row")).distinct()
-    drop = stage(drop, "drop")
-    maybe, never = split_by_ids(rows, drop, "__row")
-    return never.select(*docs.columns).union(maybe.join(drop, "__row", "left_anti").select(*docs.columns))
+    found = stage(with_components(rows, "__row").where("n_shingles > 0"), "found")
+    odd = found.groupBy(F.col("doc_id").alias("__row")).agg(
+        F.max(F.col("component_id") != F.col("doc_id")).alias("__drop"), F.count("*").alias("n")) \
+        .where("__drop OR n > 1").select("__row", "__drop")
+    odd = stage(odd, "odd")
+    maybe, never = split_by_ids(rows, odd, "__row")
+    maybe = maybe.join(odd, "__row", "left").where("__drop IS NULL OR NOT __drop")
+    again = maybe.where(F.col("__drop").isNotNull() & (n_words(F.col("text")) > 0))
+    once = maybe.where(F.col("__drop").isNull() | (n_words(F.col("text")) == 0))
+    out = [x.select(*docs.columns) for x in (never, once, again.dropDuplicates(["__row", "text"]))]
+    return out[0].union(out[1]).union(out[2])

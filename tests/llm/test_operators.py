@@ -96,6 +96,12 @@ def test_keep_one_keeps_columns(spark):
     assert sorted({r.doc_id for r in kept.collect()}) == [1, 4, 5, 6, 7, 8, 10, 11, 12]
 
 
+def test_keep_one_row_of_a_repeated_document(spark):
+    docs = hard_docs(spark)
+    docs = docs.union(docs.where("doc_id IN (1, 2, 4, 6)"))      # 6 has no words: both rows stay
+    assert sorted(r.doc_id for r in ngram_join.keep_one(docs).collect()) == [1, 4, 5, 6, 6, 7, 8, 10, 11, 12]
+
+
 @pytest.mark.parametrize("bits", [1, 3, 16, 17, 20])
 def test_packing_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 9001).astype(np.uint32)
