@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat_format, decontaminate, hmm_lm, language_id, mixing, ngram_join, token_output, toxicity, url_filter
+from . import ann, best_fit, chat_format, decontaminate, hmm_lm, language_id, mixing, ngram_join, token_output, toxicity, url_filter
 from .common import read, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,8 @@ def op3(spark, sf_dir):
 @query("op1_decontaminate")
 def op1(spark, sf_dir):
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op12_best_fit")
+def op12(spark, sf_dir):
+    return best_fit.digest(best_fit.pack(read(spark, sf_dir, "documents")))
