@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, best_fit, chat_format, decontaminate, divergence, hmm_lm, language_id, mixing, ngram_join, token_output, toxicity, url_filter
+from . import ann, best_fit, chat_format, decontaminate, divergence, hard_negatives, hmm_lm, language_id, mixing, ngram_join, token_output, toxicity, url_filter
 from .common import read, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,28 @@ FROM o WHERE part = 'pair' OR rank <= 50"""
 @query("op13_divergence", AUDIT_SQL)
 def op13(spark, sf_dir):
     return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+NEGATIVES_SQL = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label,
+             CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON p.anchor_id = s.anchor_id AND s.label <> s.anchor_label
+           AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= 5"""
+
+
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def op11(spark, sf_dir):
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"))
