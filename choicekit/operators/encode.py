@@ -4,7 +4,7 @@
   aggregate (map-side combine); dense ids come from a distributed sort plus
   per-partition offsets, so the vocabulary is never gathered in one task.
 * ``encode_tokens``: token -> id with unknown -> 1, order kept.  Only a row's
-  distinct tokens meet the vocabulary; the array is then mapped in place.
+  distinct tokens meet the vocabulary, with their positions.
 * ``pad_truncate`` / ``attention_mask``: pure array expressions.
 * ``split_segments``: separator positions -> zero-padded segments with an
   inverted mask; rows with the wrong separator count go to a rejects frame
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import compute_once
 from ..session import ensure_checkpoint_dir
-from .joins import found_value, lookup_distinct
+from .joins import resolve_words
 
 PAD_ID = 0
 UNKNOWN_ID = 1
@@ -58,11 +58,11 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, token_array: str =
                   out: str = "ids") -> DataFrame:
     """Replace every token by its id (unknown -> 1), keeping token order; no
     tokens or null give no ids.  ``key`` identifies a row."""
-    found = lookup_distinct(df, [key], token_array, vocab.select(
+    said = resolve_words(df, [key], token_array, vocab.select(
         F.col("token").alias("src"), F.col("id").cast("bigint").alias("tgt")))
-    ids = F.transform(F.coalesce(F.col(token_array), F.array().cast("array<string>")),
-                      lambda t: F.coalesce(found_value(t), F.lit(UNKNOWN_ID).cast("bigint")))
-    return found.select(key, ids.alias(out))
+    ids = F.transform("_said", lambda t: F.coalesce(t["tgt"], F.lit(UNKNOWN_ID).cast("bigint")))
+    return df.select(key).join(said, key, "left").select(
+        key, F.coalesce(ids, F.array().cast("array<bigint>")).alias(out))
 
 
 def pad_truncate(arr, length: int, pad: int = PAD_ID) -> Column:

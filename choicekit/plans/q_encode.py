@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import encode as N
+from ..operators import subword as SW
 from ..sources.tables import documents
 from . import sqltext as S
 from .fixtures import SPLIT_SQL, length_ids, split_of, token_rows, vector_groups, with_ctes, words_of
@@ -35,6 +36,48 @@ def q_vocab_encode(spark, sf):
                       F.array_join("ids", " ").alias("ids"))
 
 
+MIN_COUNT, LONGEST = 20, 16     # of the words of the train split that are pieces
+
+
+@register("subword_encode", f"""
+WITH RECURSIVE tok AS (SELECT doc_id, {S.tokens(S.preprocess('text'))} AS t FROM documents),
+ex AS (SELECT doc_id, unnest(t) AS word, unnest(range(len(t))) AS pos FROM tok),
+train AS (SELECT word, count(*) AS n FROM ex WHERE {SPLIT_SQL.format(k='doc_id')} = 'train' GROUP BY word),
+texts AS (SELECT word AS piece FROM train WHERE n >= {MIN_COUNT} AND length(word) <= {LONGEST}
+          UNION SELECT DISTINCT unnest(regexp_extract_all(word, '.')) FROM train),
+pieces AS (SELECT piece, row_number() OVER (ORDER BY piece) + 1 AS id FROM texts),
+words AS (SELECT DISTINCT ex.word, p.id FROM ex LEFT JOIN pieces p ON ex.word = p.piece),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS start FROM words WHERE id IS NULL),
+subs AS (SELECT word, start, unnest(range(1, least({LONGEST}, length(word) - start + 1) + 1)) AS size FROM places),
+best AS (SELECT s.word, s.start, max(s.size) AS size, arg_max(p.id, s.size) AS id
+         FROM subs s JOIN pieces p ON p.piece = substring(s.word, s.start, s.size) GROUP BY s.word, s.start),
+walk(word, place, ids) AS (
+  SELECT word, CAST(1 AS BIGINT), CAST([] AS BIGINT[]) FROM words WHERE id IS NULL
+  UNION ALL
+  SELECT w.word, w.place + b.size, list_append(w.ids, b.id) FROM walk w JOIN best b ON b.word = w.word AND b.start = w.place),
+done AS (SELECT word, ids FROM walk WHERE place = length(word) + 1
+         UNION ALL SELECT word, [id] FROM words WHERE id IS NOT NULL),
+enc AS (SELECT ex.doc_id, flatten(list(coalesce(d.ids, [1]) ORDER BY ex.pos)) AS ids
+        FROM ex LEFT JOIN done d ON ex.word = d.word GROUP BY ex.doc_id)
+SELECT tok.doc_id, CAST(coalesce(len(enc.ids), 0) AS BIGINT) AS n_ids,
+       coalesce(array_to_string(enc.ids, ' '), '') AS ids
+FROM tok LEFT JOIN enc ON tok.doc_id = enc.doc_id""")
+def q_subword_encode(spark, sf):
+    """Longest match: the given pieces are the words of the train split that occur
+    20 times or more and have at most 16 characters, and its single characters."""
+    docs = documents(spark, sf, "doc_id", "text").select(
+        "doc_id", tx.word_tokens(tx.preprocess_text("text")).alias("tokens"))
+    train = docs.where(split_of("doc_id") == "train").select(F.explode("tokens").alias("word")) \
+        .groupBy("word").agg(F.count("*").alias("n"))
+    frequent = train.where((F.col("n") >= MIN_COUNT) & (F.length("word") <= LONGEST)).select("word")
+    letters = train.select(F.explode(F.array_distinct(F.split("word", ""))).alias("word")).where("word <> ''")
+    table = N.dense_index(frequent.union(letters).distinct(), [F.col("word").asc()], "_i").select(
+        F.col("word").alias("piece"), (F.col("_i") + N.FIRST_ID).alias("id"))
+    pieces = table.select("piece", F.explode(F.array(F.lit(False), F.lit(True))).alias("inner"), "id")
+    enc = SW.subword_encode(docs, pieces, "doc_id")
+    return enc.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.array_join("ids", " ").alias("ids"))
+
+
 @register("pad_truncate_mask", f"""
 SELECT doc_id, array_to_string(list_resize(t[1:{PAD_LEN}], {PAD_LEN}, 0), ' ') AS ids,
        array_to_string(list_resize(list_transform(t[1:{PAD_LEN}], lambda x: 1), {PAD_LEN}, 0),
