@@ -12,10 +12,8 @@ never a half-written file.  A shard image is
 
 so numpy unpacks a block at once and any document is read from its own blocks alone.
 
-Tokenising: in the byte-level vocabulary a single space between two other characters
-starts a pre-token, a single newline there is one, and a point or comma after a letter
-starts one.  Texts are cut at these places and each distinct piece is encoded once per
-worker; texts with other white space beside a space or newline are encoded whole.
+Tokenising: ``encoder.ByteEncoder`` cuts texts where tokens must start and encodes each
+distinct piece once per worker.
 
 Defined results: null text is empty and holds the end id only; equal doc_ids are ordered
 by a hash of their text; a null doc_id sorts first and reads back as null; an empty table
@@ -26,7 +24,6 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import starmap
 
 import numpy as np
 import pyarrow as pa
@@ -37,19 +34,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import pieces, stage
+from .encoder import ByteEncoder, encoder
 
 MAGIC = b"FWBP"
 BLOCK_IDS = 4096
 SHARD_IDS = 1 << 20
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
-CACHED_PIECES = 600_000
-SLICE = 1 << 20            # bytes of text cut up at once
-WHOLE = 1 << 18            # characters of uncut texts (or one text) encoded in a call
+SLICE = 2 << 20            # bytes of text cut up at once
 NO_DOC = -(1 << 63)        # doc_id of a null in an image
-# a space or newline at an end or beside other white space: not a place to cut
-_WHITE = r"[\s\p{Z}\x{85}\x0b\x1c-\x1f]"
-ODD_SPACE = rf"(^|{_WHITE})[ \n]|[ \n]($|{_WHITE})|\x00"
 
 
 def width(vocabulary: int) -> int:
@@ -106,106 +99,6 @@ class Shard:
         return self.ids(self.first[i], self.first[i + 1])
 
 
-class Encoder:
-    """Ids of whole texts; remembers the ids of distinct pieces between batches and tasks."""
-
-    def __init__(self, name: str):
-        import public_tokenizers
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(public_tokenizers.path(name))
-        self.newline = self.tok.token_to_id("Ċ")
-        self.forget()
-
-    def forget(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.start = np.zeros(1 << 16, np.int64)
-        self.length = np.zeros(1 << 16, np.int64)
-        self.flat = np.zeros(1 << 18, np.uint32)
-        self.used = 0
-
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts or pieces that are not cut; a call holds a bounded number of them,
-        as the tokenizer keeps far more than the id of each token until it returns."""
-        out: list[np.ndarray] = []
-        call: list[str] = []
-        size = 0
-        for i, t in enumerate(texts):
-            call.append(t)
-            size += len(t)
-            if size >= WHOLE or i + 1 == len(texts):
-                out += [np.array(e.ids, np.uint32) for e in
-                        self.tok.encode_batch_fast(call, add_special_tokens=False)]
-                call, size = [], 0
-        return out
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode unseen pieces, many in one call with a newline between them."""
-        plain = [p for p in new if not any(map(str.isspace, p.lstrip(" "))) and p.strip(" ")
-                 and self.newline is not None]
-        got: dict[str, np.ndarray] = {}
-        for i in range(0, len(plain), 2000):
-            part = plain[i:i + 2000]
-            ids = np.array(self.tok.encode("\n".join(part), add_special_tokens=False).ids, np.uint32)
-            cut = np.flatnonzero(ids == self.newline)
-            if len(cut) == len(part) - 1:
-                got.update(zip(part, starmap(lambda a, b, z=ids: z[a:b], zip(
-                    [0, *(cut + 1)], [*cut, len(ids)], strict=True)), strict=True))
-        rest = [p for p in new if p not in got]
-        got.update(zip(rest, self.whole(rest), strict=True))
-        ids = np.concatenate([got[p] for p in new])
-        size = np.array([len(got[p]) for p in new], np.int64)
-        k = len(self.slot)
-        while k + len(new) > len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * k + len(new)), np.resize(self.length, 2 * k + len(new))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(ids), np.uint32)])
-        self.start[k:k + len(new)] = self.used + np.cumsum(size) - size
-        self.length[k:k + len(new)] = size
-        self.flat[self.used:self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.slot.update(zip(new, range(k, k + len(new)), strict=True))
-
-    def encode(self, text: pa.Array) -> list[np.ndarray]:
-        text = pc.fill_null(text, "")
-        odd = np.asarray(pc.match_substring_regex(text, ODD_SPACE)).astype(bool)
-        out: list = [None] * len(text)
-        whole = np.flatnonzero(odd)
-        for i, ids in zip(whole, self.whole(text.take(pa.array(whole)).to_pylist()), strict=True):
-            out[i] = ids
-        easy = np.flatnonzero(~odd)
-        if len(easy):
-            cut = pc.replace_substring(text.take(pa.array(easy)), " ", "\0 ")
-            cut = pc.replace_substring_regex(pc.replace_substring(cut, "\n", "\0\n\0"),
-                                             r"(\pL)([.,])", "\\1\0\\2")
-            cut = pc.split_pattern(cut, "\0")
-            off = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(cut)))])
-            enc = cut.flatten().dictionary_encode()
-            words = enc.dictionary.to_pylist()
-            if len(self.slot) + len(words) > CACHED_PIECES:
-                self.forget()
-            if new := [w for w in words if w not in self.slot]:
-                self._learn(new)
-            slot = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))[
-                enc.indices.to_numpy(zero_copy_only=False)]
-            size = self.length[slot]
-            end = np.cumsum(size)
-            ids = self.flat[np.repeat(self.start[slot] - end + size, size) + np.arange(end[-1] if len(end) else 0)]
-            bound = np.concatenate([[0], end])[off]
-            for k, i in enumerate(easy):
-                out[i] = ids[bound[k]:bound[k + 1]]
-        return out
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(name: str) -> Encoder:
-    if name not in _ENCODERS:
-        _ENCODERS[name] = Encoder(name)
-    return _ENCODERS[name]
-
-
 def write(docs: DataFrame, name: str = "tokens", vocabulary: str = VOCABULARY,
           end_id: int = END_ID) -> tuple[DataFrame, DataFrame]:
     """Write the shards of all documents; (shards, place of each task's first id).
@@ -213,7 +106,7 @@ def write(docs: DataFrame, name: str = "tokens", vocabulary: str = VOCABULARY,
     shards: part, before (ids before it in the part), n_ids, image.  Parts are in
     doc_id order; ``places`` has one row per part."""
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(ByteEncoder, vocabulary)
         bits = width(max(enc.tok.get_vocab_size(), end_id + 1))
         end = np.array([end_id], np.uint32)
         part, before = TaskContext.get().partitionId(), 0
@@ -232,7 +125,7 @@ def write(docs: DataFrame, name: str = "tokens", vocabulary: str = VOCABULARY,
         for b in pieces(batches, limit=SLICE):
             doc_ids = pc.fill_null(b.column("doc_id"), NO_DOC).to_pylist()
             for d, x in zip(doc_ids, enc.encode(b.column("text")), strict=True):
-                held.append(np.concatenate([x, end]))
+                held.append(np.concatenate([x, end], dtype=np.uint32))
                 ids.append(d)
                 n += len(x) + 1
                 if n >= SHARD_IDS:

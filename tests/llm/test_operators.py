@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from choicekit.llm import (ann, chat_format, decontaminate, hmm_lm, language_id, mixing, ngram_join,
                            token_output, toxicity, url_filter)
+from choicekit.llm.encoder import ByteEncoder
 from choicekit.llm.queries import QUERIES
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, extra string"
@@ -130,7 +131,7 @@ def test_token_output_equals_library(spark, sf_dir, kind):
 
 
 def test_encoder_cuts_only_where_tokens_start():
-    enc = token_output.Encoder(token_output.VOCABULARY)
+    enc = ByteEncoder(token_output.VOCABULARY)
     rng = np.random.default_rng(2)
     parts = ["a", "é", "the", " ", " ", "\n", ".", ",", "'s", "1", "  ", "\t", "\u3000", "\u00a0", "\x00", "_", "\x1c"]
     texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(3000)]
