@@ -50,3 +50,26 @@ def ngram_text(x: str, lo: int = 1, hi: int = 1) -> str:
 def sentences(x: str) -> str:
     return (f"list_filter(list_transform(regexp_extract_all({x}, '[^.!?]+[.!?]*'), "
             f"lambda s: trim(s)), lambda s: s <> '')")
+
+
+# CTEs and final select of ``metrics.evaluate`` over a CTE ``predictions``
+EVALUATE = """
+lse AS (SELECT item_id, max(m) + ln(sum(exp(logit - m))) AS lse
+        FROM (SELECT *, max(logit) OVER (PARTITION BY item_id) AS m FROM predictions)
+        GROUP BY item_id),
+ce AS (SELECT p.split, avg(l.lse - p.logit) AS ce FROM predictions p
+       JOIN lse l ON p.item_id = l.item_id WHERE p.label = 1 GROUP BY p.split),
+am AS (SELECT item_id, split, choice_idx AS pred_choice FROM (
+         SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY logit DESC, choice_idx) AS r
+         FROM predictions) WHERE r = 1),
+gold AS (SELECT item_id, min(choice_idx) AS gold_choice FROM predictions WHERE label = 1
+         GROUP BY item_id),
+acc AS (SELECT split, count(*) AS n_items,
+               CAST(coalesce(sum(CAST(pred_choice = gold_choice AS INTEGER)), 0) AS BIGINT)
+                 AS n_correct
+        FROM am LEFT JOIN gold ON am.item_id = gold.item_id GROUP BY split),
+bce AS (SELECT split, avg(greatest(logit, 0) - logit * label + ln(1 + exp(-abs(logit)))) AS bce
+        FROM predictions GROUP BY split)
+SELECT acc.split, n_items, n_correct, round(n_correct / n_items, 9) AS accuracy,
+       round(ce.ce, 9) AS cross_entropy, round(bce.bce, 9) AS bce
+FROM acc JOIN ce ON acc.split = ce.split JOIN bce ON acc.split = bce.split"""
