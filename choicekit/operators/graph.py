@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 EDGE = ("relation", "weight")
+HUB_PART = 10_000      # edges of a word that one task joins, about
 
 
 def _edge_order() -> Column:
@@ -55,30 +56,59 @@ def one_hop(kg: DataFrame, pairs: DataFrame, target_lang: str | None = None) ->
         .select("word", "target", "relation", "weight")
 
 
-def two_hop(kg: DataFrame, pairs: DataFrame, target_lang: str | None = None) -> DataFrame:
-    """Only for pairs without a one-hop edge: word -> middle (English end)
-    -> target (any language).  Middle nodes are de-duplicated (best edge per
-    hop), so a path is one row per (word, middle, target)."""
+def hops_of(kg: DataFrame, pairs: DataFrame, target_lang: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(open pairs, first hops, second hops) of J5: the pairs without a one-hop
+    edge, and the edges that can lie on their paths, one per (start, end)."""
     hop1 = one_hop(kg, pairs, target_lang).select("word", "target")
-    # the open pairs feed three joins below: materialise them once (reliable
-    # checkpoint in the shared checkpoint folder; the asked pairs are small)
+    # each feeds several joins below: materialise them once (reliable checkpoints in the
+    # shared folder)
     ensure_checkpoint_dir(kg.sparkSession)
     open_pairs = pairs.join(hop1, ["word", "target"], "left_anti").checkpoint()
-    # semi-join reductions before the path join: second hops only into wanted
-    # targets, first hops only from asked words into middles that have such a
-    # second hop.  The (word, target, middle) intermediate then holds only
-    # edges that can lie on a wanted path, instead of targets x neighbours.
     second = best_edges(kg, "en", target_lang).select(
         F.col("start_text").alias("middle"), F.col("end_text").alias("target"),
         F.col("relation").alias("relation_2"), F.col("weight").alias("weight_2")) \
-        .join(open_pairs.select("target").distinct(), "target", "left_semi")
+        .join(open_pairs.select("target").distinct(), "target", "left_semi").checkpoint()
     first = best_edges(kg, "en", "en").select(
         F.col("start_text").alias("word"), F.col("end_text").alias("middle"),
         F.col("relation").alias("relation_1"), F.col("weight").alias("weight_1")) \
         .join(open_pairs.select("word").distinct(), "word", "left_semi") \
-        .join(second.select("middle").distinct(), "middle", "left_semi")
-    return open_pairs.join(first, "word").join(second, ["middle", "target"]) \
-        .select("word", "middle", "target", "relation_1", "weight_1", "relation_2", "weight_2")
+        .join(second.select("middle").distinct(), "middle", "left_semi").checkpoint()
+    return open_pairs, first, second
+
+
+def half_paths(open_pairs: DataFrame, first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs with first hops, pairs with second hops): every pair takes the end with
+    fewer edges, so a pair of a hub and a rare word costs the rare word's edges.
+    The edges of a hub are split by a hash of the middle into parts of about
+    ``HUB_PART``, which meet its pairs in different tasks."""
+    out = first.groupBy("word").agg(F.count(F.lit(1)).alias("d_out"))
+    into = second.groupBy("target").agg(F.count(F.lit(1)).alias("d_in"))
+    p = open_pairs.join(out, "word").join(into, "target")
+
+    def meet(side: DataFrame, edges: DataFrame, degrees: DataFrame, key: str, degree: str) -> DataFrame:
+        last = F.floor((F.col(degree) - 1) / HUB_PART).cast("int")
+        parted = edges.join(degrees, key).withColumn(
+            "_part", F.pmod(F.xxhash64("middle"), last + 1).cast("int")).drop(degree)
+        asked = side.withColumn("_part", F.explode(F.sequence(F.lit(0), last))).drop("d_out", "d_in")
+        return asked.join(parted, [key, "_part"]).drop("_part")
+
+    by_word = F.col("d_out") <= F.col("d_in")
+    return (meet(p.where(by_word), first, out, "word", "d_out"),
+            meet(p.where(~by_word), second, into, "target", "d_in"))
+
+
+def two_hop(kg: DataFrame, pairs: DataFrame, target_lang: str | None = None) -> DataFrame:
+    """Only for pairs without a one-hop edge: word -> middle (English end)
+    -> target (any language).  Middle nodes are de-duplicated (best edge per
+    hop), so a path is one row per (word, middle, target).  A pair's paths are
+    listed from its end of lower degree and closed by an equi-join with the
+    other hop, so the rows in between are the sum over pairs of the smaller
+    degree, never a product of both."""
+    open_pairs, first, second = hops_of(kg, pairs, target_lang)
+    begun, ended = half_paths(open_pairs, first, second)
+    cols = ("word", "middle", "target", "relation_1", "weight_1", "relation_2", "weight_2")
+    return begun.join(second, ["middle", "target"]).select(*cols) \
+        .unionByName(ended.join(first, ["word", "middle"]).select(*cols))
 
 
 def link_pairs(kg: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -123,6 +123,35 @@ def kg_pairs(spark: SparkSession, sf: str) -> DataFrame:
             .distinct())
 
 
+# --------------------------------------------------------------------------
+# kg_words: a graph that grows with the documents, with hubs and self edges
+# --------------------------------------------------------------------------
+def _doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    d = documents(spark, sf, "doc_id", "text", "lang")
+    return compute_once(d, t=tx.word_tokens(tx.preprocess_text("text"))).drop("text")
+
+
+def kg_words(spark: SparkSession, sf: str) -> DataFrame:
+    """An edge from a word to each word that follows it, weighted by how often, in the
+    language of the text; frequent words are hubs, repeated words have self edges."""
+    t = F.col("t")
+    pairs = _doc_tokens(spark, sf).where(F.size(t) > 1).select(
+        F.coalesce("lang", F.lit("en")).alias("end_lang"),
+        F.inline(F.arrays_zip(F.slice(t, 1, F.size(t) - 1).alias("start_text"),
+                              F.slice(t, 2, F.size(t) - 1).alias("end_text"))))
+    return pairs.groupBy("start_text", "end_text", "end_lang").agg(F.count(F.lit(1)).cast("double").alias("weight")) \
+        .select("start_text", F.lit("en").alias("start_lang"), "end_text", "end_lang",
+                F.lit("Next").alias("relation"), "weight")
+
+
+def kg_word_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """(word, target): first and last, and second and middle word of every document."""
+    t = F.col("t")
+    ends = F.array(F.struct(t[0].alias("word"), F.element_at(t, -1).alias("target")),
+                   F.struct(t[1].alias("word"), t[F.floor(F.size(t) / 2).cast("int")].alias("target")))
+    return _doc_tokens(spark, sf).where(F.size(t) > 1).select(F.inline(ends)).distinct()
+
+
 # --------------------------------------------------------------------------
 # entities: entity search results keyed by a search term
 # --------------------------------------------------------------------------
@@ -306,6 +335,19 @@ FROM lineitem JOIN part ON l_partkey = p_partkey
      JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
      JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 
+_DOC_TOKENS = """(SELECT coalesce(lang, 'en') AS lang, regexp_extract_all(
+  regexp_replace(lower(text), '\\p{Nd}+', '', 'g'), '[\\p{L}\\p{N}_]{2,}') AS t FROM documents)"""
+
+_sql("kg_words", f"""
+SELECT a AS start_text, 'en' AS start_lang, b AS end_text, lang AS end_lang, 'Next' AS relation,
+       CAST(count(*) AS DOUBLE) AS weight
+FROM (SELECT lang, unnest(t) AS a, unnest(t[2:]) AS b FROM {_DOC_TOKENS} WHERE len(t) > 1)
+WHERE b IS NOT NULL GROUP BY a, b, lang""")
+
+_sql("kg_word_pairs", f"""
+SELECT t[1] AS word, t[-1] AS target FROM {_DOC_TOKENS} WHERE len(t) > 1
+UNION SELECT t[2], t[len(t) // 2 + 1] FROM {_DOC_TOKENS} WHERE len(t) > 1""")
+
 _sql("entities", """
 SELECT p_partkey AS entity_id,
        p_brand || ' ' || CAST(p_partkey // 200 AS VARCHAR) AS search_term,

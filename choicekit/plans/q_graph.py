@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..sources import files as FS
 from ..sources.tables import table
-from .fixtures import kg_edges, kg_pairs, with_ctes
+from .fixtures import kg_edges, kg_pairs, kg_word_pairs, kg_words, with_ctes
 from .registry import register
 
 TOP_K = 3
@@ -145,3 +145,44 @@ SELECT start_text AS word,
 FROM kg_edges WHERE end_text <> start_text""")
 def q_kg_json_edges(spark, sf):
     return G.parse_edge_json(G.edges_to_json(kg_edges(spark, sf)))
+
+
+def word_graph(spark, sf):
+    """The graph of successive words and its asked pairs, stored once."""
+    return FS.stage(kg_words(spark, sf), "kg_words"), FS.stage(kg_word_pairs(spark, sf), "kg_word_pairs")
+
+
+@register("kg_word_links", with_ctes("kg_words", "kg_word_pairs").rstrip("\n") + ",\n" +
+          _BEST.replace("kg_edges", "kg_words").replace("kg_pairs", "kg_word_pairs") + """,
+n2 AS (SELECT word, target, count(*) AS n FROM hop2 GROUP BY word, target)
+SELECT p.word, p.target, CASE WHEN h1.word IS NOT NULL THEN 1 WHEN n2.word IS NOT NULL THEN 2 END AS hops,
+       CASE WHEN h1.word IS NOT NULL THEN 1 ELSE n2.n END AS n_paths
+FROM kg_word_pairs p
+LEFT JOIN hop1 h1 ON p.word = h1.word AND p.target = h1.target
+LEFT JOIN n2 ON p.word = n2.word AND p.target = n2.target""")
+def q_kg_word_links(spark, sf):
+    """J10 on a graph that grows with the documents and has hubs."""
+    return G.link_pairs(*word_graph(spark, sf))
+
+
+WORD_EDGES = 100    # of this query: the hubs of the word graph have more at every scale
+
+
+@register("kg_word_limit", with_ctes("kg_words") + f"""
+SELECT start_text, count(*) AS n_edges, least(count(*), {WORD_EDGES}) AS n_kept,
+       CAST(sum(weight) FILTER (rank <= {WORD_EDGES}) AS BIGINT) AS kept_weight,
+       max(end_text) FILTER (rank = least(n, {WORD_EDGES})) AS last_end,
+       count(*) FILTER (rank <= {WORD_EDGES} AND start_text = end_text) AS n_self
+FROM (SELECT *, count(*) OVER (PARTITION BY start_text) AS n,
+             row_number() OVER (PARTITION BY start_text ORDER BY weight DESC, end_text, relation, end_lang) AS rank
+      FROM kg_words) GROUP BY start_text""")
+def q_kg_word_limit(spark, sf):
+    """T4 where the limit cuts: per word the edges kept, and the last of them."""
+    edges = FS.stage(kg_words(spark, sf), "kg_words")
+    kept = G.limit_per_word(edges, WORD_EDGES)
+    all_of = edges.groupBy("start_text").agg(F.count(F.lit(1)).alias("n_edges"))
+    found = kept.groupBy("start_text").agg(
+        F.count(F.lit(1)).alias("n_kept"), F.sum("weight").cast("bigint").alias("kept_weight"),
+        F.max_by("end_text", "rank").alias("last_end"),
+        F.sum((F.col("start_text") == F.col("end_text")).cast("bigint")).alias("n_self"))
+    return all_of.join(found, "start_text").select("start_text", "n_edges", "n_kept", "kept_weight", "last_end", "n_self")

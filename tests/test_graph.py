@@ -68,3 +68,23 @@ def test_json_pages_bounded_for_a_hub_word(spark):
         "size(from_json(json, 'edges ARRAY<STRUCT<weight: DOUBLE>>').edges) AS n").collect()]
     assert len(sizes) >= 2 and sum(sizes) == 40     # split into pages, nothing lost
     assert G.parse_edge_json(docs).count() == 40
+
+
+def test_two_hop_lists_paths_from_the_rarer_end(spark, monkeypatch):
+    """A hub word, a hub target and pairs between: rows in between are the sum of the smaller
+    degrees, hubs are split, and the paths are those of a plain loop."""
+    monkeypatch.setattr(G, "HUB_PART", 7)
+    edges = {("hub", f"m{i}") for i in range(400)} | {(f"m{i}", "sink") for i in range(0, 400, 2)}
+    edges |= {(f"m{i}", f"t{i % 5}") for i in range(10)} | {(f"w{i}", f"m{i}") for i in range(30)} | {("hub", "hub")}
+    pairs = [("hub", f"t{i}") for i in range(5)] + [(f"w{i}", "sink") for i in range(30)] + \
+        [("hub", "sink"), ("hub", "m3"), ("w1", "nowhere"), ("absent", "sink")]
+    kg = spark.createDataFrame([(a, "en", b, "en", "r", 1.0) for a, b in edges],
+                               "start_text string, start_lang string, end_text string, end_lang string, relation string, weight double")
+    asked = spark.createDataFrame(pairs, "word string, target string")
+    want = {(w, m, t) for w, t in pairs if (w, t) not in edges for a, m in edges if a == w and (m, t) in edges}
+    got = [(r.word, r.middle, r.target) for r in G.two_hop(kg, asked).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    open_pairs, first, second = G.hops_of(kg, asked)
+    out, into = ({r[0]: r[1] for r in d.groupBy(k).count().collect()} for d, k in ((first, "word"), (second, "target")))
+    between = sum(min(out[w], into[t]) for w, t in pairs if (w, t) not in edges and w in out and t in into)
+    assert sum(d.count() for d in G.half_paths(open_pairs, first, second)) == between < len(want) + 40
