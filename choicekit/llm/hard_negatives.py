@@ -13,8 +13,8 @@ A query drops a sibling, then a leaf, when for some split point the sum or diffe
 distances leaves the annulus outside; what is left is scored exactly.
 
 Positives are searched first, then the negatives of each (anchor, positive) window.  Each
-search first visits the ``SEEDS`` most promising leaves of a query; what it finds there
-narrows the annulus of the full visit.  Leaves and queries meet in parts of bounded size.
+search first visits the leaf that the anchor itself is in; what it finds there narrows the
+annulus of the full visit.  Leaves and queries meet in parts of bounded size.
 
 Equal vectors of a label are searched once, with the smallest ids they stand for (no larger
 id can be among the first), and anchors of equal vector and label share one search.
@@ -36,15 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import give_back, stage
 
 SAMPLE = 16_384            # distinct vectors the split points are chosen from, at most
 FAN = 16                   # split points of a node
 SMALL = 256                # sample vectors of a node that is not parted further
 LEVELS = 2
 LEAF = 1_024               # vectors of a leaf, at most
-QUERIES = 4_096            # queries that meet a leaf in one task, about
-SEEDS = 2
+QUERIES = 2_048            # queries that meet a leaf in one task, about
+ROUTED = 128               # queries routed at once
 POSITIVES, NEGATIVES = 5, 5
 LIMIT = 1 << 26            # of a component, in absolute value
 HOT = 256                  # share of the anchors, as 1 / HOT, from which a vector is salted
@@ -169,9 +169,8 @@ def fit(vectors: DataFrame) -> Tree:
     norm2, width, n = vectors.agg(F.max("norm2"), F.max(F.size("ints")), F.count("*")).first()
     share = F.conv(F.hex(F.substring("key", 1, 6)), 16, 10).cast("double") / 2.0 ** 48
     low = vectors.where(share <= 2.0 * SAMPLE / max(n, 1))        # sends few rows to be sorted
-    tree_of = low.orderBy("key").limit(SAMPLE).select("ints").toPandas()["ints"]
     width = int(width or 1)
-    sample = np.array([np.asarray(v, np.float64) for v in tree_of]).reshape(len(tree_of), width)
+    sample = matrix(low.orderBy("key").limit(SAMPLE).select("ints").toArrow()["ints"].combine_chunks(), width)
     tree = build(sample, float(np.sqrt(norm2 or 0)), width)
     shape = (len(tree.nodes), FAN, FAN)
 
@@ -197,7 +196,7 @@ def fit(vectors: DataFrame) -> Tree:
 
 def leaves(vectors: DataFrame, tree: Tree, size: int) -> DataFrame:
     """A row per leaf: bottom, leaf (a number), n, low and high (ranges of the distances to
-    the split points above it) and its vectors, labels and ids."""
+    the split points above it), its vectors, labels and ids, and the keys of those asked for."""
     width = tree.width
 
     def assign(batches):
@@ -206,8 +205,8 @@ def leaves(vectors: DataFrame, tree: Tree, size: int) -> DataFrame:
             bottom, path, _ = descend(tree, x)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bottom), pa.array(path.min(axis=1)), lists(path),
-                 b.column("ints"), b.column("label"), b.column("ids")],
-                ["bottom", "near", "path", "ints", "label", "ids"])
+                 b.column("ints"), b.column("label"), b.column("ids"), b.column("asked")],
+                ["bottom", "near", "path", "ints", "label", "ids", "asked"])
 
     def cut(batches):
         held: list[pa.RecordBatch] = []
@@ -226,8 +225,9 @@ def leaves(vectors: DataFrame, tree: Tree, size: int) -> DataFrame:
                          pa.array([path.max(axis=0).tolist()], pa.list_(pa.float64())),
                          pa.array([ints.tobytes()], pa.binary()),
                          pa.array([part["label"].to_pylist()], pa.list_(pa.int64())),
-                         pa.array([part["ids"].to_pylist()], pa.list_(pa.list_(pa.int64())))],
-                        ["bottom", "n", "low", "high", "ints", "labels", "ids"])
+                         pa.array([part["ids"].to_pylist()], pa.list_(pa.list_(pa.int64()))),
+                         pa.array([part["asked"].drop_null().to_pylist()], pa.list_(pa.binary()))],
+                        ["bottom", "n", "low", "high", "ints", "labels", "ids", "asked"])
 
         for b in batches:
             held.append(b)
@@ -243,21 +243,20 @@ def leaves(vectors: DataFrame, tree: Tree, size: int) -> DataFrame:
             yield from rows(pa.Table.from_batches(held))
 
     placed = vectors.mapInArrow(assign, "bottom long, near double, path array<double>, ints array<int>, "
-                                        "label long, ids array<long>")
+                                        "label long, ids array<long>, asked binary")
     parts = placed.repartitionByRange("bottom", "near").sortWithinPartitions("bottom", "near").mapInArrow(
         cut, "bottom long, n int, low array<double>, high array<double>, ints binary, labels array<long>, "
-             "ids array<array<long>>")
+             "ids array<array<long>>, asked array<binary>")
     return parts.withColumn("leaf", F.monotonically_increasing_id())
 
 
 def survivors(queries: DataFrame, tree: Tree, index: DataFrame) -> DataFrame:
-    """(key, leaf, below) of every leaf that an annulus of the query meets; ``below`` is a
-    lower bound of the leaf's distance.  ``windows`` holds the scores from ``lo`` to ``hi``
-    that a query asks for."""
+    """(key, leaf) of every leaf that an annulus of the query meets.  ``windows`` holds the
+    scores from ``lo`` to ``hi`` that a query asks for."""
     width = tree.width
 
     def route(batches):
-        for b in batches:
+        for b in (b.slice(i, ROUTED) for b in batches for i in range(0, b.num_rows, ROUTED)):
             x = matrix(b.column("ints"), width)
             norm2 = np.einsum("ij,ij->i", x, x)
             w = b.column("windows").to_pylist()
@@ -297,11 +296,12 @@ def survivors(queries: DataFrame, tree: Tree, index: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [out.column("key"), out.column("windows"), pa.array(np.concatenate(where)), pa.array(norm2[who]),
                  lists(path)], ["key", "windows", "bottom", "norm2", "path"])
+            give_back()
 
     routed = queries.select("key", "ints", "windows").mapInArrow(
         route, "key binary, windows array<struct<w:int,lo:long,hi:long>>, bottom long, norm2 double, "
                "path array<double>")
-    joined = routed.join(index.select("bottom", "leaf", "low", "high"), "bottom")
+    joined = routed.join(index.select("bottom", "leaf", "low", "high").hint("merge"), "bottom")
     # NaN marks levels that do not exist; it is dropped from both bounds
     ok = lambda v: F.when(F.isnan(v), F.lit(None)).otherwise(v)
     steps = F.zip_with("low", "high", lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi")))
@@ -312,7 +312,7 @@ def survivors(queries: DataFrame, tree: Tree, index: DataFrame) -> DataFrame:
     meets = F.exists("windows", lambda w: (F.col("below") <= reach(w["lo"].cast("double")) + tree.slack)
                      & (F.col("above") >= reach(w["hi"].cast("double")) - tree.slack))
     return joined.withColumn("below", below).withColumn("above", above).where(meets) \
-        .select("key", "leaf", "below")
+        .select("key", "leaf")
 
 
 def visit(queries: DataFrame, pairs: DataFrame, index: DataFrame, tree: Tree, k: int, same: bool) -> DataFrame:
@@ -321,7 +321,9 @@ def visit(queries: DataFrame, pairs: DataFrame, index: DataFrame, tree: Tree, k:
     width = tree.width
     # each leaf meets its queries in parts; a leaf goes to as many as it has
     n_parts = pairs.groupBy("leaf").agg((F.floor(F.count("*") / QUERIES) + 1).cast("int").alias("parts"))
-    left = pairs.join(n_parts, "leaf").join(queries, "key").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    # merge joins: the driver builds no broadcast of tables that grow
+    n_parts = n_parts.hint("merge")
+    left = pairs.join(n_parts, "leaf").join(queries.hint("merge"), "key").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     right = index.join(n_parts, "leaf").select(
         "leaf", "ints", "labels", "ids", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
@@ -353,6 +355,7 @@ def visit(queries: DataFrame, pairs: DataFrame, index: DataFrame, tree: Tree, k:
                         out[1] += [w["w"]] * len(got)
                         out[2] += [-g[0] for g in got]
                         out[3] += [g[1] for g in got]
+        give_back()
         return pa.table([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()),
                          pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())],
                         ["key", "w", "score", "vec_id"])
@@ -364,20 +367,17 @@ def visit(queries: DataFrame, pairs: DataFrame, index: DataFrame, tree: Tree, k:
 
 
 def nearest(queries: DataFrame, tree: Tree, index: DataFrame, k: int, same: bool, name: str) -> DataFrame:
-    """The first k of every window, exactly: a visit of the most promising leaves, then of
-    all that the narrowed annuli still meet."""
-    met = stage(survivors(queries, tree, index), f"{name}-met")
-    order = F.row_number().over(W.partitionBy("key").orderBy("below", "leaf"))
-    seeds = stage(met.withColumn("o", order).where(F.col("o") <= SEEDS).select("key", "leaf"), f"{name}-seeds")
-    found = visit(queries, seeds, index, tree, k, same)
+    """The first k of every window, exactly: a visit of the query's own leaf, then of all
+    leaves that the annuli narrowed by it still meet."""
+    own = stage(index.select(F.explode("asked").alias("key"), "leaf"), f"{name}-own")
+    found = visit(queries, own, index, tree, k, same)
     reached = stage(found.where(F.col("rank") == k).groupBy("key").agg(
         F.collect_list(F.struct("w", "score")).alias("reached")), f"{name}-reached")
-    narrowed = queries.join(reached, "key", "left").withColumn("windows", F.transform(
+    narrowed = stage(queries.join(reached.hint("merge"), "key", "left").withColumn("windows", F.transform(
         "windows", lambda w: F.struct(w["w"].alias("w"), F.greatest(w["lo"], F.coalesce(
             F.try_element_at(F.filter("reached", lambda r: r["w"] == w["w"]), F.lit(1))["score"], w["lo"])).alias("lo"),
-            w["hi"].alias("hi")))).drop("reached")
-    narrowed = stage(narrowed, f"{name}-narrowed")
-    left = stage(survivors(narrowed, tree, index).select("key", "leaf"), f"{name}-left")
+            w["hi"].alias("hi")))).drop("reached"), f"{name}-narrowed")
+    left = stage(survivors(narrowed, tree, index), f"{name}-left")
     return stage(visit(narrowed, left, index, tree, k, same), name)
 
 
@@ -395,29 +395,29 @@ def mine(df: DataFrame, anchors: int = 100, leaf: int = LEAF) -> DataFrame:
     few = ids.withColumn("o", F.row_number().over(W.partitionBy("key").orderBy("vec_id"))).where(F.col("o") <= k) \
         .groupBy("key").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     square = F.aggregate("ints", F.lit(0).cast("long"), lambda a, v: a + v.cast("long") * v)
-    vectors = stage(rows.dropDuplicates(["key"]).select("key", "label", "ints").join(few, "key")
-                    .withColumn("norm2", square), "negatives-vectors")
+    asked = stage(ids.where(F.col("vec_id") % anchors == 0), "negatives-anchors")
+    want = asked.select("key").distinct().withColumn("asked", F.col("key")).hint("merge")
+    vectors = stage(rows.dropDuplicates(["key"]).select("key", "label", "ints").join(few.hint("merge"), "key")
+                    .join(want, "key", "left").withColumn("norm2", square), "negatives-vectors")
     tree = fit(vectors)
     index = stage(leaves(vectors, tree, leaf), "negatives-leaves")
-
-    asked = stage(ids.where(F.col("vec_id") % anchors == 0), "negatives-anchors")
     low, high = -(1 << 62), 1 << 62
     one = F.array(F.struct(F.lit(0).alias("w"), F.lit(low).cast("long").alias("lo"), F.lit(high).cast("long").alias("hi")))
-    queries = stage(vectors.join(asked.select("key").distinct(), "key", "left_semi")
-                    .select("key", "label", "ints").withColumn("windows", one), "negatives-queries")
+    queries = stage(vectors.where("asked IS NOT NULL").select("key", "label", "ints").withColumn("windows", one),
+                    "negatives-queries")
     positives = nearest(queries, tree, index, k, True, "negatives-positives")
 
     # a window per positive score: 80 p <= 100 n <= 100 p, so ceil(4 p / 5) <= n <= p
     window = positives.where("score >= 0").groupBy("key").agg(F.array_sort(F.collect_set("score")).alias("p"))
     windows = window.select("key", F.expr(
         "transform(p, (v, i) -> named_struct('w', int(i), 'lo', v - v div 5, 'hi', v))").alias("windows"))
-    wanted = stage(queries.drop("windows").join(windows, "key"), "negatives-windows")
+    wanted = stage(queries.drop("windows").join(windows.hint("merge"), "key"), "negatives-windows")
     negatives = nearest(wanted, tree, index, NEGATIVES, False, "negatives-found")
     scores = wanted.select("key", F.inline("windows")).select("key", "w", F.col("hi").alias("positive_score"))
-    negatives = negatives.join(scores, ["key", "w"]).groupBy("key", "positive_score").agg(F.array_sort(F.collect_list(
+    negatives = negatives.join(scores.hint("merge"), ["key", "w"]).groupBy("key", "positive_score").agg(F.array_sort(F.collect_list(
         F.struct("rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score")))).alias("negatives"))
     answer = positives.select("key", "rank", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")) \
-        .join(negatives, ["key", "positive_score"], "left").groupBy("key").agg(F.array_sort(F.collect_list(
+        .join(negatives.hint("merge"), ["key", "positive_score"], "left").groupBy("key").agg(F.array_sort(F.collect_list(
             F.struct("rank", "positive_id", "positive_score", "negatives"))).alias("positives"))
 
     # at most HOT vectors hold one in HOT of the anchors or more; their anchors are salted
@@ -429,6 +429,6 @@ def mine(df: DataFrame, anchors: int = 100, leaf: int = LEAF) -> DataFrame:
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = answer.join(F.broadcast(hot), "key", "left").withColumn("salt", F.explode(salts)).drop("hot")
     others = F.slice(F.filter("positives", lambda p: p["positive_id"] != F.col("vec_id")), 1, POSITIVES)
-    return left.join(right, ["key", "salt"]).select(F.col("vec_id").alias("anchor_id"), F.inline(others)).select(
+    return left.join(right.hint("merge"), ["key", "salt"]).select(F.col("vec_id").alias("anchor_id"), F.inline(others)).select(
         "anchor_id", "positive_id", "positive_score", F.inline("negatives")).select(
         "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

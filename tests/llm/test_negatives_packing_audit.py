@@ -71,7 +71,7 @@ def test_negatives_equal_brute_force(spark, spread, monkeypatch):
 def test_negatives_tree_leaves_out_leaves(spark):
     df = hard_negatives.rows_of(spark.createDataFrame(clusters(5, 4000, 8, 0.02), VEC))
     df = df.withColumn("key", F.unhex(F.sha2(F.col("vec_id").cast("string"), 256))) \
-        .withColumn("ids", F.array("vec_id")) \
+        .withColumn("ids", F.array("vec_id")).withColumn("asked", F.lit(None).cast("binary")) \
         .withColumn("norm2", F.aggregate("ints", F.lit(0).cast("long"), lambda a, v: a + v.cast("long") * v)) \
         .checkpoint()
     tree = hard_negatives.fit(df)
