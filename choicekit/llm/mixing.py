@@ -1,13 +1,16 @@
 """Mixing sources to target weights (operator 9), DataFrame functions only.
 
 A document's size is its number of words.  Each source's documents form one stream of
-words, cut into blocks of ``BLOCK`` words.  The mix has as many words as all sources
-together; sources share it by weight, none above ``REPEAT`` times its own size.  Output
-shards hold ``SHARD`` block slots.  In a shard a source gets the whole part of its
-expected slots, and the slots left are drawn from the multinomial of the fractions.
-The j-th slot of a source takes block perm(j mod n) of its pass j div n, where perm is a
-keyed swap-or-not permutation of 0..n-1; there are at most ``REPEAT`` passes, so nothing
-is taken more often.  Slots and pieces of documents meet by (source, block).
+words, cut into n blocks of at most ``BLOCK`` words whose lengths differ by one at most.
+The mix has as many words as all sources together; sources share it by weight, none above
+``REPEAT`` times its own size.  A source has as many slots as its target holds blocks, and
+one more for the words left over, which takes only the first of its block.  Output shards
+hold ``SHARD`` slots.  In a shard a source gets the whole part of its expected slots, and
+the slots left are drawn from the multinomial of the fractions.  What the draws give a
+source beyond its slots is not dealt, what they leave is dealt over all shards, so every
+source has exactly its slots.  The j-th slot of a source takes block perm(j mod n) of its
+pass j div n, where perm is a keyed swap-or-not permutation of 0..n-1; a target holds at
+most ``REPEAT`` passes.  Slots and pieces of documents meet by (source, block).
 
 All draws are hashes of keys, so reruns agree.  Positions in a stream come from sums per
 bucket of documents, so a source with a third of all rows is spread over many tasks.
@@ -96,9 +99,14 @@ def plan(docs: DataFrame, weights=WEIGHTS, repeat: int = REPEAT, block: int = BL
 
     # how many slots of each shard a source gets
     every = W.partitionBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    live = src.where("target > 0").select(
-        "si", "source_size", (F.col("target") / F.sum("target").over(every)).alias("p"),
-        F.ceil(F.sum("target").over(every) / block).cast("long").alias("slots"))
+    live = src.where("target > 0").withColumn("n", F.ceil(F.col("source_size") / block)) \
+        .withColumn("mean", F.col("source_size") / F.col("n")) \
+        .withColumn("own", F.floor(F.col("target") / F.col("mean") + 1e-9)) \
+        .withColumn("rest", F.floor(F.col("target") - F.col("own") * F.col("mean") + 0.5)) \
+        .withColumn("own", F.least(F.col("own") + (F.col("rest") > 0).cast("long"), F.col("n") * repeat)) \
+        .where("own > 0").select(
+        "si", "source_size", "n", "own", "rest", (F.col("own") / F.sum("own").over(every)).alias("p"),
+        F.sum("own").over(every).alias("slots"))
     live = live.withColumn("whole", F.floor(F.col("p") * shard)) \
         .withColumn("frac", F.col("p") * shard - F.col("whole")) \
         .withColumn("left", F.lit(shard) - F.sum("whole").over(every)) \
@@ -130,24 +138,47 @@ def plan(docs: DataFrame, weights=WEIGHTS, repeat: int = REPEAT, block: int = BL
                                        - F.col("sk")).alias("j0"))
     counts = counts.join(over, ["si", "super"]).withColumn("j0", F.col("j0") + F.sum("k").over(
         W.partitionBy("si", "super").orderBy("shard")) - F.col("k"))
-    n = F.ceil(F.col("source_size") / block)
+    # exactly the source's slots: the draws up to them, and what they leave over all shards
+    drawn = counts.groupBy("si").agg(F.sum("k").alias("drawn"))
+    own = live.select("si", "n", "own", "rest", "shards")
+    dealt = counts.join(own, "si").select(
+        "si", "shard", "n", "own", "rest", F.col("j0").alias("a"), F.least(F.col("j0") + F.col("k"), "own").alias("z"))
+    left = own.join(drawn, "si", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0))).where("drawn < own") \
+        .select("*", F.explode(F.sequence(F.col("drawn"), F.col("own") - 1, F.lit(shard).cast("long"))).alias("a")) \
+        .select("si", F.pmod(F.xxhash64(F.lit(seed), "si", "a"), F.col("shards")).alias("shard"), "n", "own", "rest",
+                "a", F.least(F.col("a") + shard, "own").alias("z"))
     # a few rows make all slots: deal them out before
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slots = counts.where("k > 0").join(live.select("si", "source_size"), "si") \
-        .repartition(parts, "si", "shard") \
-        .select("si", "shard", n.alias("n"), "j0", F.posexplode(
-            F.sequence(F.col("j0"), F.col("j0") + F.col("k") - 1)).alias("slot", "j")) \
-        .withColumn("epoch", F.floor(F.col("j") / F.col("n"))).where(F.col("epoch") < repeat) \
+    slots = dealt.union(left).where("a < z").repartition(parts, "si", "shard") \
+        .select("si", "shard", "n", "own", "rest", F.explode(F.sequence(F.col("a"), F.col("z") - 1)).alias("slot")) \
+        .withColumn("epoch", F.floor(F.col("slot") / F.col("n"))) \
         .withColumn("key", F.xxhash64(F.lit(seed), "si", "epoch")) \
         .select("si", "shard", "slot", "epoch",
-                permuted(F.pmod("j", F.col("n")), F.col("n"), F.col("key")).alias("block"))
-    pieces = s.where("size > 0").select("si", "p0", "size", F.explode(F.sequence(
-        F.floor(F.col("p0") / block), F.floor((F.col("p0") + F.col("size") - 1) / block))).alias("block")) \
-        .withColumn("first", F.greatest(F.lit(0).cast("long"), F.col("block") * block - F.col("p0"))) \
-        .withColumn("n", F.least("size", (F.col("block") + 1) * block - F.col("p0")) - F.col("first")) \
-        .select("si", "block", "p0", "first", "n")
+                F.when((F.col("slot") == F.col("own") - 1) & (F.col("rest") > 0), F.col("rest")).alias("only"),
+                permuted(F.pmod("slot", F.col("n")), F.col("n"), F.col("key")).alias("block"))
+    # the first `long` blocks of a source have a word more than the others
+    n = F.ceil(F.col("source_size") / block)
+    w = F.floor(F.col("source_size") / F.col("__n"))
+    here = s.where("size > 0").withColumn("__n", n).withColumn("__w", w) \
+        .withColumn("__long", F.col("source_size") - F.col("__n") * F.col("__w"))
+    edge = F.col("__long") * (F.col("__w") + 1)
+
+    def block_of(p):
+        return F.when(p < edge, F.floor(p / (F.col("__w") + 1))).otherwise(
+            F.col("__long") + F.floor((p - edge) / F.col("__w")))
+
+    begin = F.col("block") * F.col("__w") + F.least("block", "__long")
+    end = begin + F.col("__w") + (F.col("block") < F.col("__long")).cast("long")
+    pieces = here.select("si", "p0", "size", "__w", "__long", F.explode(F.sequence(
+        block_of(F.col("p0")), block_of(F.col("p0") + F.col("size") - 1))).alias("block")) \
+        .withColumn("first", F.greatest(F.lit(0).cast("long"), begin - F.col("p0"))) \
+        .withColumn("n", F.least("size", end - F.col("p0")) - F.col("first")) \
+        .withColumn("at", F.col("p0") + F.col("first") - begin) \
+        .select("si", "block", "p0", "first", "n", "at")
     # slots come from a few exploded rows, so their estimated size says nothing: no broadcast
-    taken = slots.hint("merge").join(pieces, ["si", "block"]).select("si", "p0", "epoch", "shard", "slot", "first", "n")
+    n = F.least(F.col("n"), F.coalesce(F.col("only") - F.col("at"), F.col("n")))
+    taken = slots.hint("merge").join(pieces, ["si", "block"]).withColumn("n", n).where("n > 0") \
+        .select("si", "p0", "epoch", "shard", "slot", "first", "n")
     return Plan(s, taken)
 
 
@@ -166,17 +197,19 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     p = plan(docs, **options)
     runs = p.taken.groupBy("si", "p0", "epoch").agg(
         F.sum("n").alias("words"), F.array_sort(F.collect_list(F.struct("first", "n"))).alias("parts"))
+    # own names: the documents may have columns of any other
     runs = p.sizes.where("size > 0").join(runs, ["si", "p0"]).select(
-        F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "size", "words", "parts", "epoch")
+        F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("size").alias("__size"),
+        F.col("words").alias("__taken"), F.col("parts").alias("__parts"))
     text = docs.withColumn("__h", F.xxhash64("text")).withColumnRenamed("doc_id", "__id") \
         .dropDuplicates(["__id", "__h"])
     words = F.regexp_extract_all(F.col("text"), F.lit(PIECE), F.lit(1))
     j = text.join(runs, (text["__id"].eqNullSafe(runs["__id"])) & (text["__h"] == runs["__h"])) \
         .drop(runs["__id"]).drop(runs["__h"])
-    cut = F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(F.array_join(F.transform(
-        "parts", lambda x: F.array_join(F.slice("__words", (x["first"] + 1).cast("int"),
-                                                x["n"].cast("int")), "")), ""))
-    j = j.withColumn("__words", F.when(F.col("words") < F.col("size"), words)).withColumn("text", cut)
+    cut = F.when(F.col("__taken") == F.col("__size"), F.col("text")).otherwise(F.array_join(F.transform(
+        "__parts", lambda x: F.array_join(F.slice("__words", (x["first"] + 1).cast("int"),
+                                                  x["n"].cast("int")), "")), ""))
+    j = j.withColumn("__words", F.when(F.col("__taken") < F.col("__size"), words)).withColumn("text", cut)
     j = j.withColumnRenamed("__id", "doc_id")
     if "n_chars" in docs.columns:
         j = j.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
