@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
@@ -136,6 +137,16 @@ def split_by_ids(df: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, Da
     return maybe, never
 
 
+def lowest(df: DataFrame, by: list[str], order: list, k: int, salts: int = 64) -> DataFrame:
+    """The first ``k`` rows of each group: ranked in salted parts of the group first, so a
+    group of any size is spread over tasks, then among those kept."""
+    salt = F.pmod(F.xxhash64(*order), F.lit(salts))
+    some = df.withColumn("__salt", salt).withColumn(
+        "__r", F.row_number().over(W.partitionBy(*by, "__salt").orderBy(*order))).where(F.col("__r") <= k)
+    return some.withColumn("__r", F.row_number().over(W.partitionBy(*by).orderBy(*order))) \
+        .where(F.col("__r") <= k).drop("__r", "__salt")
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers when it was found by ``sys.path``
     alone.  With PYTHONPATH, an installed package or ``--py-files`` nothing is done."""

@@ -21,10 +21,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, tokens
+from .common import lowest, mix, pieces, tokens
 
 PER_LANG = 700        # documents of a language the classifier is fitted on at most
 BUCKETS = 1 << 16
@@ -99,8 +98,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, per_lang: int = PER_LANG, seed: int = 7) -> Model | None:
     """``docs``: doc_id, text, lang; rows without lang or text teach nothing."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang")
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    pick = known.withColumn("r", rank).where(F.col("r") <= per_lang).select("doc_id").distinct()
+    pick = lowest(known, ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], per_lang).select("doc_id").distinct()
     got = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang") \
         .join(F.broadcast(pick), "doc_id", "left_semi").mapInArrow(_bags, "lang string, bag binary").toArrow()
     bags, y0 = got["bag"].to_pylist(), got["lang"].to_pylist()

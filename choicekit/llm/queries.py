@@ -110,7 +110,7 @@ def op6(spark, sf_dir):
     held = _remainder(3) == 1
     model = language_id.fit(docs.where(~F.coalesce(held, F.lit(False))))
     out = language_id.predict(docs, model)
-    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 @query("op2_hmm_lm")
