@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, tokens
+from .common import lowest, pieces, stage, tokens
 
 TRAIN_ROWS = 8_000          # labelled documents the classifier is fitted on at most
 FEATURES = 4_096            # features it may use, most telling first
@@ -89,10 +89,15 @@ def _solve(y: np.ndarray, start: np.ndarray, col: np.ndarray, n_col: int, weight
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """The model of the labelled documents; the sample is the ``rows`` lowest hashes of doc_id."""
+    """The model of the labelled documents.  The sample, of labels whose documents are
+    there: the ``rows`` lowest hashes of doc_id, and those of each label value up to an
+    eighth of ``rows``, so a rare value is in it too."""
+    have = docs.where("doc_id IS NOT NULL").select(F.col("doc_id"))
     pick = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.max(F.col("toxic").cast("int")).alias("toxic"))
-    pick = pick.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+        F.max(F.col("toxic").cast("int")).alias("toxic")).join(have, "doc_id", "left_semi")
+    pick = stage(pick, "labelled")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    pick = lowest(pick, [], order, rows).union(lowest(pick, ["toxic"], order, max(1, rows // 8))).distinct()
     got = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("doc_id", "toxic", "text") \
         .mapInArrow(_train_rows, "toxic int, n long, features binary").toArrow()
     toxic = np.asarray(got["toxic"])
