@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 EDGE = ("relation", "weight")
+GRAM = 3               # characters of the runs that substring targets are looked up by
 HUB_PART = 10_000      # edges of a word that one task joins, about
 
 
@@ -148,18 +149,59 @@ def limit_per_word(kg: DataFrame, n: int = 1000) -> DataFrame:
         .where(F.col("rank") <= n)
 
 
+def char_grams(text: Column, n: int) -> Column:
+    """Distinct runs of ``n`` characters of a text; none when it is shorter."""
+    at = F.sequence(F.lit(1), F.length(text) - n + 1)
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(n))))) \
+        .otherwise(F.array().cast("array<string>"))
+
+
+def substring_candidates(kg: DataFrame, pairs: DataFrame, n: int = GRAM) -> DataFrame:
+    """(word, target, end_text): ends of the word's edges that hold the target's
+    rarest character trigram among them.  The inverted list of a word's ends is
+    built for asked words and asked trigrams only, and a target with a trigram
+    that no end of its word has is gone before it meets any edge.  Targets shorter
+    than ``n`` are looked up by runs of their own length."""
+    asked = pairs.select("word", "target").where("word IS NOT NULL AND target IS NOT NULL").distinct() \
+        .withColumn("size", F.least(F.lit(n), F.length("target")))
+    ends = kg.select(F.col("start_text").alias("word"), "end_text").distinct()
+    out = None
+    # sizes 1 to n and empty targets, which every end contains: a fixed, small number of lists
+    for size in range(n + 1):
+        part = asked.where(F.col("size") == size).drop("size")
+        if size == 0:
+            found = part.join(ends, "word")
+        else:
+            want = part.select("word", "target", F.explode(char_grams(F.col("target"), size)).alias("gram"))
+            have = ends.join(part.select("word").distinct(), "word", "left_semi") \
+                .select("word", "end_text", F.explode(char_grams(F.col("end_text"), size)).alias("gram")) \
+                .join(want.select("word", "gram").distinct(), ["word", "gram"], "left_semi")
+            often = have.groupBy("word", "gram").agg(F.count(F.lit(1)).alias("n"))
+            rarest = want.join(often, ["word", "gram"], "left").groupBy("word", "target").agg(
+                F.count(F.lit(1)).alias("_grams"), F.count("n").alias("_known"),
+                F.min_by("gram", F.struct("n", "gram")).alias("gram")).where("_grams = _known")
+            found = rarest.select("word", "target", "gram").join(have, ["word", "gram"])
+        found = found.select("word", "target", "end_text")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _substring_hits(kg: DataFrame, pairs: DataFrame) -> DataFrame:
+    return substring_candidates(kg, pairs).where(F.col("end_text").contains(F.col("target")))
+
+
 def substring_target(kg: DataFrame, pairs: DataFrame) -> DataFrame:
     """J6 (+F4, F5): per (word, target): the best edge of ``word`` whose end
     contains ``target``; when none matches, the number of the word's edges
     that are not self edges (the relations the reference returns)."""
-    e = kg.select("start_text", "end_text", "relation", "weight")
-    matched = (pairs.join(e, (pairs.word == e.start_text) &
-                          F.col("end_text").contains(F.col("target")))
-               .groupBy("word", "target")
-               .agg(F.min_by(F.struct("end_text", "relation", "weight"), _edge_order())
-                    .alias("_m")))
-    rel_count = e.where(F.col("end_text") != F.col("start_text")) \
-        .groupBy(F.col("start_text").alias("word")).agg(F.count(F.lit(1)).alias("n_rel"))
+    e = kg.select(F.col("start_text").alias("word"), "end_text", "relation", "weight")
+    # one edge per end first: a hit meets one row
+    best = e.groupBy("word", "end_text").agg(
+        F.min_by(F.struct("end_text", "relation", "weight"), _edge_order()).alias("_e")) \
+        .select("word", "end_text", "_e.relation", "_e.weight")
+    matched = _substring_hits(kg, pairs).join(best, ["word", "end_text"]).groupBy("word", "target").agg(
+        F.min_by(F.struct("end_text", "relation", "weight"), _edge_order()).alias("_m"))
+    rel_count = e.where(F.col("end_text") != F.col("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_rel"))
     j = pairs.join(matched, ["word", "target"], "left").join(rel_count, "word", "left")
     return j.select("word", "target",
                     F.col("_m.end_text").alias("match_end"),
@@ -173,12 +215,10 @@ def substring_relations(kg: DataFrame, pairs: DataFrame) -> DataFrame:
     """J6 (+F4, F5) when nothing matches: the edges, but for self edges, of each
     word none of whose ends contains its target.  One row per (word, edge), not
     per pair: all such targets of a word share the word's edges."""
-    e = kg.select("start_text", "end_text", "relation", "weight")
-    hit = pairs.join(e, (pairs.word == e.start_text) &
-                     F.col("end_text").contains(F.col("target"))).select("word", "target")
+    e = kg.select(F.col("start_text").alias("word"), "end_text", "relation", "weight")
+    hit = _substring_hits(kg, pairs).select("word", "target").distinct()
     words = pairs.join(hit, ["word", "target"], "left_anti").select("word").distinct()
-    return e.where(F.col("end_text") != F.col("start_text")) \
-        .withColumnRenamed("start_text", "word").join(words, "word", "left_semi") \
+    return e.where(F.col("end_text") != F.col("word")).join(words, "word", "left_semi") \
         .select("word", "end_text", "relation", "weight")
 
 

@@ -113,23 +113,41 @@ def best_checkpoint(metrics: DataFrame, run: str = "run_id", ckpt: str = "checkp
         F.col("_a.v").alias("best_accuracy"))
 
 
+EPOCHS = 4096      # epochs of a block
+
+
+def blocked_prefix(df: DataFrame, run: str, order: str, value: Column, fn, out: str,
+                   inclusive: bool = False, block: int = EPOCHS) -> DataFrame:
+    """``out``: ``fn`` (``F.min`` or ``F.max``) of ``value`` over the run's rows of
+    lower ``order`` (and the row itself if ``inclusive``); null when there is
+    none.  Blocks of ``order`` values are aggregated first, a window carries
+    over the blocks of a run, and the windows inside a block hold at most
+    ``block`` orders, so a run of any length is spread over tasks."""
+    b = F.floor(F.col(order) / block)
+    rows = df.withColumn("_block", b).withColumn("_value", value)
+    blocks = rows.groupBy(run, "_block").agg(fn("_value").alias("_agg"))
+    before = Window.partitionBy(run).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = blocks.select(run, "_block", fn("_agg").over(before).alias("_carry"))
+    inside = Window.partitionBy(run, "_block").orderBy(order).rowsBetween(
+        Window.unboundedPreceding, 0 if inclusive else -1)
+    pick = F.least if fn is F.min else F.greatest      # both skip nulls
+    return rows.join(carry, [run, "_block"]).withColumn(out, pick("_carry", fn("_value").over(inside))) \
+        .drop("_block", "_value", "_carry")
+
+
 def early_stop_epoch(metrics: DataFrame, patience: int = 3, run: str = "run_id",
                      epoch: str = "epoch", monitor: str = "val_loss",
-                     mode: str = "min") -> DataFrame:
+                     mode: str = "min", block: int = EPOCHS) -> DataFrame:
     """The first epoch after ``patience`` epochs without improvement of
-    ``monitor`` (null when training would run to the end).  A run holds one
-    row per epoch, so its window is bounded by the epoch count."""
-    w = Window.partitionBy(run).orderBy(epoch)
-    prev = w.rowsBetween(Window.unboundedPreceding, -1)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    best_before = (F.min if mode == "min" else F.max)(monitor).over(prev)
-    better = (F.col(monitor) < best_before) if mode == "min" else (F.col(monitor) > best_before)
-    improved = best_before.isNull() | better
-    m = metrics.withColumn("_imp", improved) \
-        .withColumn("_last", F.max(F.when(F.col("_imp"), F.col(epoch))).over(upto)) \
-        .withColumn("_since", F.col(epoch) - F.col("_last"))
+    ``monitor`` (null when training would run to the end).  Best value so far
+    and last improvement are prefixes over blocks of epochs."""
+    fn = F.min if mode == "min" else F.max
+    m = blocked_prefix(metrics.select(run, epoch, monitor), run, epoch, F.col(monitor), fn, "_best", False, block)
+    better = (F.col(monitor) < F.col("_best")) if mode == "min" else (F.col(monitor) > F.col("_best"))
+    improved = F.col("_best").isNull() | better
+    m = blocked_prefix(m, run, epoch, F.when(improved, F.col(epoch)), F.max, "_last", True, block)
     return m.groupBy(run).agg(
-        F.min(F.when(F.col("_since") >= patience, F.col(epoch))).alias("stop_epoch"),
+        F.min(F.when(F.col(epoch) - F.col("_last") >= patience, F.col(epoch))).alias("stop_epoch"),
         F.max(epoch).alias("last_epoch"))
 
 

@@ -245,10 +245,18 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 # run_metrics: per-run, per-epoch validation metrics from the event stream
 # --------------------------------------------------------------------------
 def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """Every event of a user is one epoch of that user's run, in time order."""
-    ev = table(spark, sf, "events").select("event_id", "ts", "user_id", "value")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    ranked = ev.withColumn("epoch", (F.row_number().over(w) - 1).cast("bigint"))
+    """Every event of a user is one epoch of that user's run, in time order.  Events are
+    numbered inside the days of a user, after a count of the days before, so that no
+    window holds all events of a user."""
+    ev = table(spark, sf, "events").select("event_id", "ts", "user_id", "value",
+                                           F.to_date("ts").alias("day"))
+    days = ev.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    first = days.select("user_id", "day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    inside = Window.partitionBy("user_id", "day").orderBy("ts", "event_id")
+    ranked = ev.join(first.withColumnRenamed("user_id", "u").withColumnRenamed("day", "d"),
+                     F.col("user_id").eqNullSafe(F.col("u")) & F.col("day").eqNullSafe(F.col("d"))) \
+        .withColumn("epoch", (F.col("first") + F.row_number().over(inside) - 1).cast("bigint"))
     return ranked.select(
         F.col("user_id").alias("run_id"), "epoch",
         F.col("value").alias("val_loss"),

@@ -186,3 +186,30 @@ def q_kg_word_limit(spark, sf):
         F.max_by("end_text", "rank").alias("last_end"),
         F.sum((F.col("start_text") == F.col("end_text")).cast("bigint")).alias("n_self"))
     return all_of.join(found, "start_text").select("start_text", "n_edges", "n_kept", "kept_weight", "last_end", "n_self")
+
+
+def _word_parts(spark, sf):
+    """Asked substrings: of each asked word of the word graph the inner letters of its
+    target, its first two letters and a run that few ends have."""
+    p = kg_word_pairs(spark, sf)
+    t = F.col("target")
+    part = F.array(F.substring(t, 2, 4), F.substring(t, 1, 2), F.concat(F.substring(t, 1, 3), F.lit("q")))
+    return p.select("word", F.explode(part).alias("target")).distinct()
+
+
+@register("kg_word_substring", with_ctes("kg_words", "kg_word_pairs").rstrip("\n") + """,
+asked AS (SELECT DISTINCT word, unnest([substr(target, 2, 4), substr(target, 1, 2), substr(target, 1, 3) || 'q']) AS target
+          FROM kg_word_pairs),
+m AS (SELECT word, target, end_text, weight FROM (
+  SELECT a.word, a.target, e.end_text, e.weight, row_number() OVER (
+           PARTITION BY a.word, a.target ORDER BY e.weight DESC, e.relation, e.end_text) AS r
+  FROM asked a JOIN kg_words e ON a.word = e.start_text AND contains(e.end_text, a.target)) WHERE r = 1),
+n AS (SELECT start_text AS word, count(*) AS n FROM kg_words WHERE end_text <> start_text GROUP BY start_text)
+SELECT a.word, a.target, m.end_text AS match_end, m.weight AS match_weight,
+       CASE WHEN m.end_text IS NULL THEN coalesce(n.n, 0) END AS n_relations
+FROM asked a LEFT JOIN m ON a.word = m.word AND a.target = m.target LEFT JOIN n ON a.word = n.word""")
+def q_kg_word_substring(spark, sf):
+    """J6 on the growing word graph: candidates by rarest trigram."""
+    edges = FS.stage(kg_words(spark, sf), "kg_words")
+    pairs = FS.stage(_word_parts(spark, sf), "kg_word_parts")
+    return G.substring_target(edges, pairs).select("word", "target", "match_end", "match_weight", "n_relations")

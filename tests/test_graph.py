@@ -88,3 +88,30 @@ def test_two_hop_lists_paths_from_the_rarer_end(spark, monkeypatch):
     out, into = ({r[0]: r[1] for r in d.groupBy(k).count().collect()} for d, k in ((first, "word"), (second, "target")))
     between = sum(min(out[w], into[t]) for w, t in pairs if (w, t) not in edges and w in out and t in into)
     assert sum(d.count() for d in G.half_paths(open_pairs, first, second)) == between < len(want) + 40
+
+
+def test_substrings_by_rarest_trigram(spark):
+    """Against a plain loop, with short, empty and missing targets; candidates near the hits."""
+    import random
+    rng = random.Random(4)
+    ends = {"".join(rng.choice("abé ") for _ in range(rng.randrange(0, 9))) for _ in range(300)}
+    rows = [(w, "en", e, "en", r, float(i % 7)) for i, (w, e, r) in enumerate(
+        (rng.choice(["x", "y", "hub"]), e, rng.choice("rs")) for e in sorted(ends) for _ in range(2))]
+    rows += [("x", "en", "x", "en", "self", 9.0)]
+    kg = spark.createDataFrame(rows, "start_text string, start_lang string, end_text string, end_lang string, relation string, weight double")
+    asked = {(rng.choice(["x", "y", "hub", "none"]), "".join(rng.choice("abé ") for _ in range(rng.randrange(0, 6)))) for _ in range(200)}
+    pairs = spark.createDataFrame(sorted(asked), "word string, target string")
+    want = {}
+    for w, t in asked:
+        hits = [(-x, r, e) for a, _, e, _, r, x in rows if a == w and t in e]
+        want[w, t] = (min(hits)[2], min(hits)[1], None) if hits else \
+            (None, None, sum(a == w and e != w for a, _, e, _, _, _ in rows))
+    got = {(r.word, r.target): (r.match_end, r.match_relation, r.n_relations) for r in G.substring_target(kg, pairs).collect()}
+    assert got == want
+    left = {w for (w, _), v in want.items() if v[0] is None}
+    assert sorted(map(tuple, G.substring_relations(kg, pairs).collect())) == sorted(
+        (a, e, r, x) for a, _, e, _, r, x in rows if a in left and e != a)
+    long = pairs.where("length(target) >= 3")
+    hits = sum(t in e for w, t in asked if len(t) >= 3 for e in {e for a, _, e, _, _, _ in rows if a == w})
+    assert hits <= G.substring_candidates(kg, long).count() < 0.5 * sum(
+        len({e for a, _, e, _, _, _ in rows if a == w}) for w, t in asked if len(t) >= 3)

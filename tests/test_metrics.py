@@ -65,3 +65,29 @@ def test_training_budget(spark):
     b = {r.split: (r.total_steps, r.warmup_steps) for r in M.training_budget(items).collect()}
     assert b == {"train": (int(37 / 4 / 4 * 10), int(int(37 / 4 / 4 * 10) * 0.1)),
                  "test": (int(5 / 16 * 10), 0)}
+
+
+def test_early_stop_over_blocks_equals_a_loop(spark):
+    """Runs longer than a block, with gaps, ties and nulls in the monitored value."""
+    import random
+    rng = random.Random(5)
+    rows = []
+    for run in range(12):
+        epochs = sorted(rng.sample(range(200), rng.randrange(1, 90)))
+        rows += [(run, e, None if rng.random() < 0.05 else rng.choice([0.1, 0.2, 0.3, 0.5, 1.0]) + run * 0.0) for e in epochs]
+    df = spark.createDataFrame(rows, "run_id long, epoch long, val_loss double")
+    for mode, better in (("min", lambda a, b: a < b), ("max", lambda a, b: a > b)):
+        want = {}
+        for run in range(12):
+            best = last = stop = None
+            for _, e, v in sorted(r for r in rows if r[0] == run):
+                if best is None or (v is not None and better(v, best)):
+                    last = e
+                if v is not None and (best is None or better(v, best)):
+                    best = v
+                if stop is None and last is not None and e - last >= 3:
+                    stop = e
+            want[run] = stop
+        for block in (4, 4096):
+            got = {r.run_id: r.stop_epoch for r in M.early_stop_epoch(df, 3, mode=mode, block=block).collect()}
+            assert got == want
