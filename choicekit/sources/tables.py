@@ -14,25 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None,
-           key: str | None = None) -> DataFrame:
-    """Give CPU-heavy per-row work (tokenising, sentence splitting) at least
-    one partition per core.  A source with fewer scan splits than the
-    cluster's parallelism (one large row group, a handful of big files) is
-    redistributed round-robin after column pruning; a source that is already
-    split - the normal case for a large table - is left alone, with no shuffle.
-    With ``key`` the redistribution hashes on it, so a later explode ->
-    broadcast join -> regroup by that key needs no second shuffle."""
-    if df.isStreaming:
-        return df
-    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= n:
-        return df
-    return df.repartition(n, key) if key else df.repartition(n)
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` hash-partitioned on ``key`` for CPU-heavy per-row work (tokenising,
+    sentence splitting) on tables of few large row groups; a later regroup by
+    that key needs no second shuffle.  AQE sizes the partitions."""
+    return df.repartition(key)
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """The documents table pruned to ``columns`` and spread for text work."""
+    """The documents table pruned to ``columns`` (with doc_id) and spread for text
+    work: the given tables are one file with one row group each."""
     d = table(spark, sf_dir, "documents")
-    d = d.select(*columns) if columns else d
-    return spread(d, key="doc_id" if "doc_id" in d.columns else None)
+    return spread(d.select(*columns) if columns else d, "doc_id")

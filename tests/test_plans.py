@@ -1,6 +1,6 @@
 """Plan-shape regressions: expensive derived columns are evaluated once,
-top-k / limits use a map-side partial group limit, spreading only happens for
-under-split sources, and filters/columns reach the Parquet scan."""
+top-k / limits use a map-side partial group limit, a spread table is regrouped without
+a second exchange, and filters/columns reach the Parquet scan."""
 import contextlib
 import io
 
@@ -34,11 +34,11 @@ def test_top_k_uses_partial_group_limit(spark, sf_dir):
     assert "WindowGroupLimit" in p and "Partial" in p
 
 
-def test_spread_only_when_under_split(spark):
-    one = spark.range(100).coalesce(1)
-    assert spread(one, 4).rdd.getNumPartitions() == 4
-    many = spark.range(100).repartition(8)
-    assert spread(many, 4) is many
+def test_spread_serves_a_later_regroup(spark):
+    """One exchange in all, whatever partitions the source has."""
+    for df in (spark.range(100).coalesce(1), spark.range(100).repartition(40)):
+        p = plan(spread(df, "id").groupBy("id").count())
+        assert p.count("hashpartitioning(id") == 1
 
 
 def test_pushdown_and_pruning_reach_the_scan(spark, sf_dir):
