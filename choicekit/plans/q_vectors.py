@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cluster as C
+from ..operators import kmeans as KM
 from ..operators import reshape as R
 from ..operators import similarity as V
 from ..sources.tables import table
@@ -135,6 +136,15 @@ def q_cosine_kmeans_grouped(spark, sf):
     return C.kmeans_grouped(_candidates(spark, sf), k=K_SEEDS, max_iter=25)
 
 
+@register("cosine_kmeans_restarts")
+def q_cosine_kmeans_restarts(spark, sf):
+    """C1 as the reference runs it: ten clusters, 25 restarts, the best objective kept."""
+    members, report = KM.kmeans_restarts(_candidates(spark, sf), k=10, restarts=25)
+    best = report.where("kept").select("doc_id", "objective", "converged")
+    return members.join(best, "doc_id").select("doc_id", "vec_id", "cluster", F.round("centre_sim", 6).alias("centre_sim"),
+                                               "restart", F.round("objective", 6).alias("objective"), "converged")
+
+
 @register("cosine_kmeans_global")
 def q_cosine_kmeans_global(spark, sf):
     e = table(spark, sf, "embeddings")
