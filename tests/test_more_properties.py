@@ -126,3 +126,28 @@ def test_pivot_similarity(spark, vecs):
         nv = math.sqrt(sum(x * x for x in v))
         expect = round(sum(a * b for a, b in zip(v, p)) / max(nv * np_, 1e-8), 6)
         assert got[i] == expect
+
+
+def test_best_match_in_blocks_equals_a_loop(spark, monkeypatch):
+    """Blocks of three vectors, ties, concepts without candidates and a null concept."""
+    import math
+    import random
+
+    from choicekit.operators import entities as E
+    monkeypatch.setattr(E, "BLOCK", 3)
+    rng = random.Random(2)
+    vecs = [(i, [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(3)]) for i in range(30)] + [(30, [0.0] * 3)]
+    ents = [(100 + i, rng.choice(["a", "B ", "c"]), f"l{i}", None, rng.randrange(31)) for i in range(40)]
+    asked = [(i, rng.choice(["A", "b", "c", "none", None]), rng.randrange(31)) for i in range(80)]
+    got = {r.query_id: (r.entity_id, r.sim) for r in E.best_match(
+        spark.createDataFrame(asked, "query_id long, concept string, pivot_vec_id long"),
+        spark.createDataFrame(ents, "entity_id long, search_term string, label string, description string, vec_id long"),
+        spark.createDataFrame(vecs, "vec_id long, embedding array<double>")).collect()}
+    by = dict(vecs)
+
+    def sim(a, b):
+        n = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / max(n, 1e-8), 6)
+    for q, c, p in asked:
+        hits = [(-sim(by[v], by[p]), e) for e, t, _, _, v in ents if c and t.strip().lower() == c.lower()]
+        assert got[q] == ((min(hits)[1], -min(hits)[0]) if hits else (None, None))
