@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.columns import compute_once
 from ..operators import encode as N
 from ..operators import subword as SW
 from ..sources.tables import documents
@@ -114,6 +115,36 @@ def q_segment_split(spark, sf):
                                    for c in ("segment_0", "segment_1", "mask_0", "mask_1")])
 
 
+_MASK = "array_to_string(list_transform(range(1, len(ids) + 1), lambda i: CASE WHEN i <= {n} THEN 0 ELSE 1 END), ' ')"
+
+
+@register("segment_split_three", f"""
+WITH t AS (SELECT doc_id, list_transform(w, lambda x: CAST(length(x) + 102 AS INTEGER)) AS t
+           FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r]+'),
+                                            lambda x: x <> '') AS w FROM documents)),
+r AS (SELECT doc_id, [101] || t[1:3] || [102] || t[4:6] || [102] || t[7:] ||
+             CASE WHEN doc_id % 9 = 0 THEN []::INTEGER[] ELSE [102] END AS ids FROM t),
+s AS (SELECT doc_id, ids, list_filter(range(0, len(ids)), lambda i: ids[i + 1] = 102) AS seps FROM r)
+SELECT doc_id,
+       array_to_string(list_resize(ids[2 : seps[1]], len(ids), 0), ' ') AS segment_0,
+       array_to_string(list_resize(ids[seps[1] + 2 : seps[2]], len(ids), 0), ' ') AS segment_1,
+       array_to_string(list_resize(ids[seps[2] + 2 : seps[3]], len(ids), 0), ' ') AS segment_2,
+       {_MASK.format(n='seps[1] - 1')} AS mask_0, {_MASK.format(n='seps[2] - seps[1] - 1')} AS mask_1,
+       {_MASK.format(n='seps[3] - seps[2] - 1')} AS mask_2
+FROM s WHERE len(seps) = 3""")
+def q_segment_split_three(spark, sf):
+    """M8 with three separators: question and option, reason, context."""
+    d = compute_once(documents(spark, sf, "doc_id", "text"),
+                     w=F.coalesce(words_of("text"), F.array().cast("array<string>"))).drop("text")
+    t, sep, none = F.col("t"), F.array(F.lit(102)), F.array().cast("array<int>")
+    rows = d.select("doc_id", length_ids("w").alias("t")).select("doc_id", F.concat(
+        F.array(F.lit(101)), F.slice(t, 1, 3), sep, F.slice(t, 4, 3), sep, F.slice(t, 7, F.size(t)),
+        F.when(F.col("doc_id") % 9 == 0, none).otherwise(sep)).alias("ids"))
+    segs, _ = N.split_segments(rows, n_sep=3)
+    return segs.select("doc_id", *[F.array_join(f"{c}_{j}", " ").alias(f"{c}_{j}")
+                                   for j in range(3) for c in ("segment", "mask")])
+
+
 @register("segment_rejects", _SEG + """
 SELECT doc_id, CAST(len(seps) AS BIGINT) AS n_separators FROM s WHERE len(seps) <> 2""")
 def q_segment_rejects(spark, sf):
