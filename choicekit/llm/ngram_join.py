@@ -14,15 +14,17 @@ units already reach H + 1 provably has no partner and is gone.  The others buy
 the cheapest units still needed.  Documents then meet in groups around the node
 that shares most keys with them; groups are compared exactly, by tiles of
 bounded size, and what a tile returns is a spanning set of its links, never all
-pairs.  Bought keys whose documents sit in different groups give the remaining
-candidates.  All candidates are verified on the words themselves.
+pairs.  Where a bought key reaches from one group into another, the fewer documents on
+the two sides join the other group as guests, so that its tiles compare them too.  Tiles
+count on the words themselves.
 
-Exact copies collapse first, by a 128-bit digest of the sorted shingle set.
+Exact copies collapse first, by a 128-bit digest of the sorted shingle set.  The result
+is a class id per row; links themselves are not returned.
 
 Defined results: null or blank text has an empty set and links with nothing;
-fewer words than five make one shingle of all words; repeated rows of one id
-stay one node; a row whose id is null is a document of its own, and its component, when
-no id is in it, has one above all ids; an empty table gives an empty result; other columns are ignored.
+fewer words than five make one shingle of all words; every row is a document of its own,
+also where an id is null or in several rows, and a component has the smallest id of its
+rows, or one above all ids where none has an id; an empty table gives an empty result; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import give_back, mix, n_words, pieces, split_by_ids, stage, tokens
+from .common import give_back, mix, pieces, split_by_ids, stage, tokens
 from .components import components
 
 SHINGLE = 5
@@ -160,10 +162,6 @@ def word_shingles(text: str | None) -> set:
                                                        strict=False))
 
 
-def linked(a: int, b: int, both: int) -> bool:
-    return both > 0 and 100 * both >= 80 * (a + b - both)
-
-
 def tile_edges(ids: np.ndarray, texts: list, first: int | None) -> list[tuple[int, int]]:
     """Spanning links of one tile.  ``first``: documents before it form one side, the rest
     the other; None: one block against itself.  Shingles of many documents are counted as
@@ -247,17 +245,6 @@ def _edges(pairs: list) -> pa.RecordBatch:
                                        pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in _few(batches):
-        out = []
-        for x, y, s, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            p, q = word_shingles(s), word_shingles(t)
-            if linked(len(p), len(q), len(p & q)):
-                out.append((x, y))
-        yield _edges(out)
-    give_back()
-
-
 def segment_costs(shared: DataFrame) -> DataFrame:
     """c1, c2 of the segments that aren't free: documents met by looking for an equal subset,
     and those more that one deletion reaches."""
@@ -281,46 +268,52 @@ def allocate(costs: DataFrame) -> DataFrame:
         .where("k <= paid - short").select("node", "role", "seg", F.col("u.unit").alias("unit"))
 
 
-def least_apart(costs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(node, n, far): an index node's size and its free units, which it differs by at the
-    least from every other index node of its band."""
-    paid = costs.where("role = 0").groupBy("node").agg(
-        F.sum((F.col("c1") > 0).cast("int") + ((F.col("dbl") == 1) & (F.col("c1") + F.col("c2") > 0))
-              .cast("int")).alias("paid"), F.first("short").alias("short"))
-    return sizes.join(paid, "node", "left").select("node", "n", F.when(
-        F.col("paid").isNotNull(), F.col("short") + F.floor(F.col("n") * 2 / 9) + 1 - F.col("paid")).alias("far"))
-
-
-def meet(buys: DataFrame, index: DataFrame) -> DataFrame:
-    """(node, role, other): a bought key's buyers with its index rows of other groups.  Buyers
-    of a key's largest group meet only the rows outside it; the few other buyers meet all."""
-    largest = index.groupBy("key", "home").count().groupBy("key").agg(
-        F.max_by("home", F.struct("count", "home")).alias("largest"))
-    b = buys.select("key", "node", "role", "center").join(largest, "key")
-    out = index.join(largest, "key").where("home <> largest").drop("largest")
-    most = b.where("center = largest").join(out, "key")
-    rest = b.where("center <> largest").join(index, "key")
-    return most.union(rest).where("center <> home AND node <> other").select("node", "role", "other")
-
-
-def named(docs: DataFrame, id_col: str, new: str) -> tuple[DataFrame, int | None]:
-    """``docs`` with the column ``new``: the id as a long, and for each row whose id is null one
-    of its own above all ids; and the largest id (None: no id is null)."""
+def guests(buys: DataFrame, index: DataFrame) -> DataFrame:
+    """(center, node): what groups get from others.  Where buyers of one group reach index
+    rows of another by a key, the side with fewer of them joins the other's group, whose
+    tiles then compare both; keys meet group by group, so no pair of documents is listed."""
+    b = buys.groupBy("key", "side", "center").agg(F.count("*").alias("nb"))
+    i = index.groupBy("key", "side", "home").agg(F.count("*").alias("ni"))
+    both = stage(b.join(i.hint("merge"), ["key", "side"]).where("center <> home"), "groups")
+    way = both.groupBy("center", "home").agg((F.sum("ni") <= F.sum("nb")).alias("come"))
+    both = stage(both.drop("nb", "ni").join(way.hint("merge"), ["center", "home"]), "groups")
+    come = index.join(both.where("come").hint("merge"), ["key", "side", "home"]).select("center", F.col("other").alias("node"))
+    go = buys.join(both.where("NOT come").hint("merge"), ["key", "side", "center"]).select(F.col("home").alias("center"), "node")
+    some = come.union(go).distinct()
+    return some.union(some.select("center", F.col("center")).distinct())     # a group may be one document
+
+
+def one_row_each(docs: DataFrame, id_col: str, new: str) -> tuple[DataFrame, DataFrame | None, int | None]:
+    """``docs`` with a column ``new`` that no two rows share: the id as a long, or for rows
+    whose id is null or repeated a number above all ids; these rows (None: there are none),
+    and the largest id."""
     docs = docs.withColumn(new, F.col(id_col).cast("long"))
-    if docs.where(F.col(new).isNull()).isEmpty():
-        return docs, None
+    again = stage(docs.groupBy(new).count().where(F.col(new).isNull() | (F.col("count") > 1)).select(new), "again")
+    if again.isEmpty():
+        return docs, None, None
     top = docs.agg(F.coalesce(F.max(new), F.lit(-1).cast("long"))).first()[0]
-    # staged, so the ids stay what they are; an overflow is an error
-    more = stage(docs.where(F.col(new).isNull()).withColumn(
-        new, F.lit(top + 1).cast("long") + F.monotonically_increasing_id()), "named")
-    return docs.where(F.col(new).isNotNull()).union(more), top
+    known = docs.where(F.col(new).isNotNull())
+    maybe, never = split_by_ids(known, again.where(F.col(new).isNotNull()), new)
+    odd = docs.where(F.col(new).isNull()).union(maybe.join(again.hint("merge"), new, "left_semi").select(*docs.columns))
+    # staged, so the numbers stay what they are; an overflow is an error
+    odd = stage(odd.withColumn(new, F.lit(top + 1).cast("long") + F.monotonically_increasing_id()), "named")
+    plain = never.union(maybe.join(again.hint("merge"), new, "left_anti").select(*never.columns))
+    return plain.select(*docs.columns).union(odd.select(*docs.columns)), odd, top
 
 
 def with_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
-    docs, top = named(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "doc_id")
-    out = _with_components(docs)
-    return out if top is None else out.withColumn("doc_id", F.when(F.col("doc_id") <= top, F.col("doc_id")))
+    docs = docs.select(F.col(id_col).cast("long").alias("real"), F.col(text_col).alias("text"))
+    rows, odd, top = one_row_each(docs, "real", "doc_id")
+    out = _with_components(rows.select("doc_id", "text"))
+    if odd is None:
+        return out
+    own = odd.select("doc_id", "real").hint("merge")
+    out = stage(out.join(own, "doc_id", "left").withColumn(
+        "id", F.when(F.col("doc_id") <= top, F.col("doc_id")).otherwise(F.col("real"))), "by-row")
+    least = out.groupBy("component_id").agg(F.min("id").alias("least")).hint("merge")
+    return out.join(least, "component_id").select(
+        F.col("id").alias("doc_id"), "n_shingles", F.coalesce("least", "component_id").alias("component_id"))
 
 
 def _with_components(docs: DataFrame) -> DataFrame:
@@ -354,83 +347,74 @@ def _with_components(docs: DataFrame) -> DataFrame:
 
     # groups: the index node of each key that shares most, and each buyer's commonest one
     plain = shared.where("gone = 0")
-    weight = plain.where("role = 0").groupBy("node").agg(F.sum("n_own").alias("w"))
-    buyer = bought.select("node", "role").distinct()
+    weight = plain.where("role = 0").groupBy("node").agg(F.sum("n_own").alias("w")).hint("merge")
+    buyer = bought.select("node", "role").distinct().hint("merge")
     heavy = plain.where("role = 0").join(weight, "node").groupBy("key").agg(
         F.max(F.struct("w", "node")).alias("top"))
     star = plain.select("key", "node", "role").join(buyer, ["node", "role"]) \
-        .join(heavy.select("key", F.col("top.node").alias("center")), "key") \
+        .join(heavy.select("key", F.col("top.node").alias("center")).hint("merge"), "key") \
         .where("node <> center").groupBy("node", "role", "center").count() \
         .groupBy("node", "role").agg(F.max_by("center", F.struct("count", "center")).alias("center"))
     star = stage(star, "star")
     # a centre shares more than its node, so following centres ends at the root of a group
     for _ in range(2):
-        up = star.where("role = 0").select(F.col("node").alias("center"), F.col("center").alias("up"))
+        up = star.where("role = 0").select(F.col("node").alias("center"), F.col("center").alias("up")).hint("merge")
         star = stage(star.join(up, "center", "left").select(
             "node", "role", F.coalesce("up", "center").alias("center")), "star")
-    # bought keys whose two documents are in different groups
-    home = star.where("role = 0").select(F.col("node").alias("other"), F.col("center").alias("home"))
-    other = shared.where("role = 0").select("key", "gone", F.col("node").alias("other")) \
-        .join(home, "other", "left").withColumn("home", F.coalesce("home", "other"))
-    index = other.where("gone = 0").select("key", "other", "home")
-    index_gone = other.where("gone = 1").select("key", "other", "home")
-    buys = bought.join(shared.select("key", "node", "role", "seg", "gone", "n_own", "n_gone"),
-                       ["node", "role", "seg"]).join(star, ["node", "role"], "left") \
-        .withColumn("center", F.coalesce("center", "node"))
-    met = meet(buys.where("unit = 1 AND gone = 0"), index) \
-        .union(meet(buys.where("unit = 2 AND gone = 1"), index)) \
-        .union(meet(buys.where("unit = 2 AND gone = 0 AND n_gone > 0"), index_gone))
-    # a pair differs at least by what either side has free, and at most by (r + s) // 9;
-    # the larger of a band's two documents buys enough to meet the smaller
-    far = stage(least_apart(costs, reps.select("node", "n")), "sizes")
-    met = met.distinct()
-    room = F.floor((F.col("n") + F.col("s")) / 9)
-    same = (F.col("role") == 1) | ((F.col("n") >= F.col("s")) & (
-        room >= F.greatest(F.coalesce("far", F.lit(0)), F.coalesce("s_far", F.lit(0)))))
-    apart = met.join(far, "node").join(far.toDF("other", "s", "s_far"), "other") \
-        .where((5 * F.col("s") >= 4 * F.col("n")) & (5 * F.col("n") >= 4 * F.col("s")) & same) \
-        .select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct()
-    apart = stage(apart, "apart")
-
     member = star.select("center", "node").union(star.select("center", F.col("center"))).distinct()
-    wanted = member.select("node").union(apart.select("x")).union(apart.select("y")).distinct() \
-        .join(reps.select("node", "rep"), "node").select("node", F.col("rep").alias("doc_id"))
+
+    # bought keys: who buys them, in which group, and the index rows they reach
+    center = star.hint("merge")
+    bought = bought.join(shared.select("key", "node", "role", "seg", "gone", "n_gone").hint("merge"), ["node", "role", "seg"]) \
+        .where("(unit = 1 AND gone = 0) OR (unit = 2 AND (gone = 1 OR n_gone > 0))")
+    buys = stage(bought.join(center, ["node", "role"], "left").select(
+        "key", ((F.col("unit") == 2) & (F.col("gone") == 0)).cast("int").alias("side"), "node",
+        F.coalesce("center", "node").alias("center")).distinct(), "buys")
+    home = star.where("role = 0").select(F.col("node").alias("other"), F.col("center").alias("home")).hint("merge")
+    index = stage(shared.where("role = 0").select("key", F.col("gone").cast("int").alias("side"), F.col("node").alias("other"))
+                  .join(buys.select("key", "side").distinct().hint("merge"), ["key", "side"], "left_semi")
+                  .join(home, "other", "left").withColumn("home", F.coalesce("home", "other")), "index")
+    member = stage(member.union(guests(buys, index)).distinct(), "member")
+    wanted = member.select("node").distinct() \
+        .join(reps.select("node", "rep").hint("merge"), "node").select("node", F.col("rep").alias("doc_id"))
     wanted = stage(wanted, "wanted")
     maybe, _ = split_by_ids(docs, wanted, "doc_id")
-    text = stage(maybe.dropDuplicates(["doc_id"]).join(wanted, "doc_id"), "texts")
+    text = stage(maybe.dropDuplicates(["doc_id"]).join(wanted.hint("merge"), "doc_id"), "texts")
 
     blocks = member.groupBy("center").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("nb"))
     block = F.pmod(F.xxhash64("node", F.lit(7)), F.col("nb")).cast("int")
-    tiles = member.join(blocks, "center").withColumn("i", block) \
+    tiles = member.join(blocks.hint("merge"), "center").withColumn("i", block) \
         .select("center", "node", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j")) \
         .select(F.xxhash64("center", F.least("i", "j"), F.greatest("i", "j")).alias("tile"),
                 F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"), "node")
-    tiled = tiles.join(text, "node").select("tile", "side", F.col("doc_id").alias("id"), "text") \
+    tiled = tiles.join(text.hint("merge"), "node").select("tile", "side", F.col("doc_id").alias("id"), "text") \
         .repartition(F.col("tile")).sortWithinPartitions("tile", "side", "id")
-    found = tiled.mapInArrow(_tiles, "a long, b long")
-    t = text.select("node", "doc_id", "text")
-    pairs = apart.join(t.toDF("x", "a", "s"), "x").join(t.toDF("y", "b", "t"), "y") \
-        .select("a", "b", "s", "t")
-    links = found.union(pairs.mapInArrow(_verify, "a long, b long"))
+    links = stage(tiled.mapInArrow(_tiles, "a long, b long"), "links")
+
     comp = components(links)
-    per_node = reps.drop("n").join(comp, reps["rep"] == comp["id"]).select("node", "more", "component")
-    return base.join(reps.drop("n"), ["node", "more"], "left").join(per_node, ["node", "more"], "left").select(
+    per_node = reps.drop("n").join(comp.hint("merge"), reps["rep"] == comp["id"]).select("node", "more", "component")
+    return base.join(reps.drop("n").hint("merge"), ["node", "more"], "left") \
+        .join(per_node.hint("merge"), ["node", "more"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.coalesce("component", F.when(F.col("n") > 0, F.col("rep")), "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents without those whose component holds a smaller doc_id, and one row of
-    each document repeated whole (the same doc_id and text).  Documents without words all stay."""
-    rows, _ = named(docs, "doc_id", "__row")
-    found = stage(with_components(rows, "__row").where("n_shingles > 0"), "found")
-    odd = found.groupBy(F.col("doc_id").alias("__row")).agg(
-        F.max(F.col("component_id") != F.col("doc_id")).alias("__drop"), F.count("*").alias("n")) \
-        .where("__drop OR n > 1").select("__row", "__drop")
-    odd = stage(odd, "odd")
-    maybe, never = split_by_ids(rows, odd, "__row")
-    maybe = maybe.join(odd, "__row", "left").where("__drop IS NULL OR NOT __drop")
-    again = maybe.where(F.col("__drop").isNotNull() & (n_words(F.col("text")) > 0))
-    once = maybe.where(F.col("__drop").isNull() | (n_words(F.col("text")) == 0))
-    out = [x.select(*docs.columns) for x in (never, once, again.dropDuplicates(["__row", "text"]))]
-    return out[0].union(out[1]).union(out[2])
+    """One row of each component stays: that of its smallest doc_id (a null id last).
+    Documents without words all stay."""
+    rows, odd, top = one_row_each(docs, "doc_id", "__row")
+    found = _with_components(rows.select(F.col("__row").alias("doc_id"), "text"))
+    if odd is None:
+        gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__row"))
+    else:
+        own = odd.select(F.col("__row").alias("doc_id"), F.col("doc_id").cast("long").alias("real")).hint("merge")
+        found = stage(found.join(own, "doc_id", "left").withColumn(
+            "id", F.when(F.col("doc_id") <= top, F.col("doc_id")).otherwise(F.col("real"))), "found")
+        first = found.groupBy("component_id").agg(
+            F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")).alias("first")).hint("merge")
+        gone = found.join(first, "component_id").where(F.col("first.doc_id") != F.col("doc_id")) \
+            .select(F.col("doc_id").alias("__row"))
+    gone = stage(gone, "gone")
+    maybe, never = split_by_ids(rows, gone, "__row")
+    stay = maybe.join(gone.hint("merge"), "__row", "left_anti")
+    return never.select(*docs.columns).union(stay.select(*docs.columns))

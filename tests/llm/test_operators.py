@@ -97,6 +97,44 @@ def test_keep_one_keeps_columns(spark):
     assert sorted({r.doc_id for r in kept.collect()}) == [1, 4, 5, 6, 7, 8, 10, 11, 12]
 
 
+def test_ids_with_several_texts(spark):
+    """Rows are joined by their texts, whatever rows their ids share."""
+    a, b = (" ".join(f"{p}{i}" for i in range(60)) for p in "ab")
+    near = a.replace("a59", "zz")
+    rows = [(3, b, None), (5, a, None), (5, b, None), (7, near, None), (2, a + " more", None), (2, "other words here", None),
+            (2, a + " more", None), (None, b, None), (None, "alone at last", None), (4, None, None), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, count long")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.with_components(docs).collect()),
+                 key=lambda r: (r[0] is None, *(-1 if v is None else v for v in r)))
+    assert [g for g in got if g[0] is not None] == [
+        (2, 1, 2), (2, 57, 2), (2, 57, 2), (3, 56, 3), (4, 0, 4), (4, 0, 4), (5, 56, 2), (5, 56, 3), (7, 56, 2)]
+    assert got[-2:] == [(None, 1, got[-2][2]), (None, 56, 3)] and got[-2][2] > 7
+    kept = sorted((r.doc_id or 0, r.text or "") for r in ngram_join.keep_one(docs).collect())
+    assert kept == [(0, "alone at last"), (2, a + " more"), (2, "other words here"), (3, b), (4, ""), (4, "")]
+
+
+def test_guests_bring_every_reached_pair_together(spark):
+    """Whatever groups a key's buyers and index rows are in, both are members of one group,
+    and the larger side of two groups does not move."""
+    rng = np.random.default_rng(8)
+    home = {n: int(rng.integers(0, 6)) if n < 60 else 1000 + n for n in range(90)}     # the last are alone
+    buys = [(int(rng.integers(0, 25)), int(rng.integers(0, 2)), int(n), home[int(n)]) for n in rng.integers(0, 90, 200)]
+    index = [(int(rng.integers(0, 25)), int(rng.integers(0, 2)), int(n), home[int(n)]) for n in rng.integers(0, 90, 200)]
+    got = {tuple(r) for r in ngram_join.guests(
+        spark.createDataFrame(sorted(set(buys)), "key long, side int, node long, center long"),
+        spark.createDataFrame(sorted(set(index)), "key long, side int, other long, home long")).collect()}
+    member = got | {(h, n) for n, h in home.items()}
+    for k, s, n, c in buys:
+        for k2, s2, o, h in index:
+            if (k, s) == (k2, s2) and c != h:
+                assert any((g, n) in member and (g, o) in member for g in (c, h))
+    many = [(1, 0, n, 5) for n in range(20)]
+    got = {tuple(r) for r in ngram_join.guests(
+        spark.createDataFrame(many, "key long, side int, node long, center long"),
+        spark.createDataFrame([(1, 0, 77, 6)], "key long, side int, other long, home long")).collect()}
+    assert got == {(5, 77), (5, 5)}
+
+
 def test_keep_one_row_of_a_repeated_document(spark):
     docs = hard_docs(spark)
     docs = docs.union(docs.where("doc_id IN (1, 2, 4, 6)"))      # 6 has no words: both rows stay
@@ -185,6 +223,31 @@ def test_mixing_targets_and_limits(spark, sf_dir, kind):
         assert abs(taken[s] - want[s]) <= max(0.1 * want[s], 4 * mixing.BLOCK)
 
 
+def test_mixing_small_sources_come_near_their_targets(spark):
+    rng = np.random.default_rng(4)
+    rows = [(1000 * k + j, " ".join(["w"] * int(n)), f"s{k:03}") for k in range(60)
+            for j, n in enumerate(rng.multinomial(10 + 5 * k, [0.5, 0.3, 0.2]))]
+    rows += [(10 ** 6 + i, " ".join(["w"] * 500), "s100") for i in range(30)]
+    out = mixing.taken_words(mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()
+    source = {r[0]: r[2] for r in rows}
+    taken, target, size = Counter(), {}, {}
+    for r in out:
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]], size[source[r.doc_id]] = r.target, r.source_size
+        assert r.taken <= 3 * r.size
+    for s, want in target.items():
+        assert abs(taken[s] - want) <= -(-size[s] // mixing.BLOCK) + 1
+    assert abs(sum(taken.values()) - sum(target.values())) < 0.01 * sum(target.values())
+
+
+def test_mixing_columns_of_any_name(spark):
+    docs = docs_of(spark, "/root/testdata/sf0.001").limit(50)
+    for c in ("size", "words", "parts", "epoch", "first", "n", "block", "target", "h", "si", "p0"):
+        docs = docs.withColumn(c, F.lit(c))
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns and {r.epoch for r in out.collect()} == {"epoch"}
+
+
 def test_mixing_text_holds_the_words_taken(spark):
     docs = hard_docs(spark)
     p = mixing.plan(docs, block=4)
@@ -301,6 +364,26 @@ def test_toxicity_learns_labels(spark):
     assert not any(r.toxic for r in toxicity.score(docs, none).collect())
 
 
+def test_toxicity_learns_rare_labels(spark):
+    """One in a hundred is toxic and the sample is small: both labels are still in it."""
+    rng = np.random.default_rng(6)
+    common = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*rng.choice(common, 40), *(["vile", "nasty"] * 3 if i % 100 == 0 else [])])) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 100 == 0)) for i, _ in rows] + [(10 ** 6 + i, 0) for i in range(3000)],
+                                   "doc_id long, toxic int")
+    got = {r.doc_id: r.toxic for r in toxicity.score(docs, toxicity.fit(docs, labels, 160)).collect()}
+    assert sum(bool(got[i]) for i in range(0, 2000, 100)) >= 19
+    assert sum(bool(v) for i, v in got.items() if i % 100) <= 20
+
+
+def test_language_id_query_null_id(spark, tmp_path):
+    docs = docs_of(spark, "/root/testdata/sf0.001").limit(80)
+    docs.union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))).write.parquet(str(tmp_path / "documents.parquet"))
+    out = QUERIES["op6_language_id"](spark, str(tmp_path)).collect()
+    assert [r.held_out for r in out if r.doc_id is None] == [False] and all(r.held_out is not None for r in out)
+
+
 def test_language_id_held_out(spark, sf_dir):
     got = QUERIES["op6_language_id"](spark, "/root/testdata/sf0.01")
     lang = docs_of(spark, "/root/testdata/sf0.01").select("doc_id", "lang")
