@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowest, pieces, stage, tokens
+from .common import give_back, lowest, pieces, stage, tokens
 
 TRAIN_ROWS = 8_000          # labelled documents the classifier is fitted on at most
 FEATURES = 4_096            # features it may use, most telling first
@@ -89,6 +89,13 @@ def _solve(y: np.ndarray, start: np.ndarray, col: np.ndarray, n_col: int, weight
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+    """``_fit``, with the driver's memory given back after it."""
+    model = _fit(docs, labels, rows)
+    give_back()
+    return model
+
+
+def _fit(docs: DataFrame, labels: DataFrame, rows: int) -> Model:
     """The model of the labelled documents.  The sample, of labels whose documents are
     there: the ``rows`` lowest hashes of doc_id, and those of each label value up to an
     eighth of ``rows``, so a rare value is in it too."""
@@ -104,11 +111,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     if len(toxic) == 0 or toxic.min() == toxic.max():
         return Model()
     n = np.maximum(1, np.asarray(got["n"]))
-    feats = [np.frombuffer(x, np.int64) for x in got["features"].to_pylist()]
-    del got
-    start = np.concatenate([[0], np.cumsum([len(f) for f in feats])])
-    ids, col = np.unique(np.concatenate(feats), return_inverse=True)
-    row_y = np.repeat(toxic, np.diff(start))
+    # the features of all rows are one buffer: no copy of them as Python objects
+    column = got["features"].cast(pa.large_binary()).combine_chunks()
+    at = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset) // 8
+    start = at - at[0]
+    ids, col = np.unique(np.frombuffer(column.buffers()[2], np.int64)[at[0]:at[-1]], return_inverse=True)
+    del got, column
+    col = col.astype(np.int32)
+    row_y = np.repeat(toxic.astype(np.int8), np.diff(start))
     pos, neg = (np.bincount(col, row_y == v, len(ids)) for v in (1, 0))
     n1, n0 = (toxic == 1).sum(), (toxic == 0).sum()
     # signed root of the log-likelihood ratio of presence against the label
