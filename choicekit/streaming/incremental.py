@@ -18,15 +18,17 @@ def start_file_stream(spark: SparkSession, source_dir: str, file_glob: str,
                       transform: Callable[[DataFrame], DataFrame], sink_dir: str,
                       checkpoint_dir: str, available_now: bool = True,
                       max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Stream parquet files matching ``file_glob`` under ``source_dir``
-    through ``transform`` into ``sink_dir`` (append, Parquet).
+    """Stream what matches ``file_glob`` under ``source_dir``, Parquet files or
+    folders of them, through ``transform`` into ``sink_dir`` (append, Parquet).
 
     The schema comes from the files already present (footer read only)."""
-    schema = spark.read.option("pathGlobFilter", file_glob).parquet(source_dir).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+    # a pattern even for a plain name: a file stream takes a single file only by one
+    source = f"{source_dir.rstrip('/')}/{{{file_glob}}}"
+    schema = spark.read.parquet(source).schema
+    reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    stream = transform(reader.parquet(source_dir))
+    stream = transform(reader.parquet(source))
     writer = (stream.writeStream.format("parquet").outputMode("append")
               .option("path", sink_dir).option("checkpointLocation", checkpoint_dir))
     writer = writer.trigger(availableNow=True) if available_now \

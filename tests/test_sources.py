@@ -80,6 +80,20 @@ def test_incremental_stream_is_exactly_once(spark):
     assert second.groupBy("example_id").count().where("count != 4").count() == 0
 
 
+def test_stream_of_a_folder_and_of_a_file(spark):
+    """A table is one file or a folder of files."""
+    base = shared_dir(spark, "stream-folder")
+    spark.range(10).repartition(3).write.parquet(f"{base}/many.parquet")
+    spark.range(10).coalesce(1).write.parquet(f"{base}/parts")
+    import glob
+    import shutil
+    shutil.copy(glob.glob(f"{base}/parts/*.parquet")[0], f"{base}/one.parquet")
+    for name in ("many.parquet", "one.parquet"):
+        out = shared_dir(spark, "stream-out")
+        start_file_stream(spark, base, name, lambda d: d, f"{out}/data", f"{out}/ck").awaitTermination()
+        assert sorted(r.id for r in spark.read.parquet(f"{out}/data").collect()) == list(range(10))
+
+
 def test_catalog_json_entry(spark):
     df = spark.createDataFrame([(1, "train"), (2, "test")], "id long, split string")
     path = shared_dir(spark, "catjson")
