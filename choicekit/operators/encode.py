@@ -4,7 +4,7 @@
   aggregate (map-side combine); dense ids come from a distributed sort plus
   per-partition offsets, so the vocabulary is never gathered in one task.
 * ``encode_tokens``: token -> id with unknown -> 1, order kept.  Only a row's
-  distinct tokens meet the vocabulary, with their positions.
+  distinct tokens of a block of rows meet the vocabulary.
 * ``pad_truncate`` / ``attention_mask``: pure array expressions.
 * ``split_segments``: separator positions -> zero-padded segments with an
   inverted mask; rows with the wrong separator count go to a rejects frame
@@ -57,11 +57,12 @@ def build_vocabulary(tokens: DataFrame, token_array: str = "tokens") -> DataFram
 def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, token_array: str = "tokens",
                   out: str = "ids") -> DataFrame:
     """Replace every token by its id (unknown -> 1), keeping token order; no
-    tokens or null give no ids.  ``key`` identifies a row."""
+    tokens or null give no ids.  ``key`` identifies a row; ``df`` is read more than
+    once, so stage tokens that cost work."""
     said = resolve_words(df, [key], token_array, vocab.select(
         F.col("token").alias("src"), F.col("id").cast("bigint").alias("tgt")))
     ids = F.transform("_said", lambda t: F.coalesce(t["tgt"], F.lit(UNKNOWN_ID).cast("bigint")))
-    return df.select(key).join(said, key, "left").select(
+    return df.select(key).join(said.hint("merge"), key, "left").select(
         key, F.coalesce(ids, F.array().cast("array<bigint>")).alias(out))
 
 

@@ -1,10 +1,13 @@
 """Positional word look-ups and longest-match sub-word ids against plain loops."""
+import contextlib
+import io
 import random
 import time
 
 from choicekit.operators import encode as N
 from choicekit.operators import subword as SW
 from choicekit.operators import udf as U
+from choicekit.operators import joins as J
 from choicekit.operators.joins import resolve_words
 
 PIECES = [("un", False, 2), ("a", False, 3), ("a", True, 4), ("ab", True, 5), ("abc", True, 6), ("b", True, 7),
@@ -64,3 +67,26 @@ def test_translate_list_null_and_empty(spark):
     d = spark.createDataFrame([("aa", "AA")], "src string, tgt string")
     df = spark.createDataFrame([(1, ["aa bb", None, ""]), (2, None), (3, [])], "k long, o array<string>")
     assert {r.k: r.x for r in U.translate_list(df, "k", "o", "x", d).collect()} == {1: ["AA bb", None, ""], 2: None, 3: []}
+
+
+def test_resolve_words_merges_rows_of_a_key(spark, monkeypatch):
+    """Blocks of a few rows; rows of one key are one text, word beside word."""
+    monkeypatch.setattr(J, "ROWS", 5)
+    rows = [(i % 17, [f"w{j % 7}" for j in range(i, i + i % 4)]) for i in range(40)] + [(50, None), (51, [])]
+    table = spark.createDataFrame([(f"w{j}", [j, j]) for j in range(5)], "src string, tgt array<long>")
+    got = {r.k: [(x.word, x.tgt) for x in r._said] for r in resolve_words(
+        spark.createDataFrame(rows, "k long, ws array<string>"), ["k"], "ws", table).collect()}
+    want = {}
+    for k, ws in rows:
+        want.setdefault(k, []).extend((at, w) for at, w in enumerate(ws or []))
+    assert got == {k: [(w, [int(w[1:])] * 2 if int(w[1:]) < 5 else None) for _, w in sorted(ws)]
+                   for k, ws in want.items() if ws}
+
+
+def test_no_exploded_words_are_broadcast(spark):
+    """The substrings of words look as few as their words to the planner."""
+    words = spark.createDataFrame([(1, "unab")], "wid long, word string")
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        SW.longest_matches(words, spark.createDataFrame(PIECES, "piece string, inner boolean, id long")).explain()
+    assert "Broadcast" not in out.getvalue()
