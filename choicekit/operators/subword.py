@@ -8,7 +8,7 @@ where it ended, and so on; a word with a place where no piece starts has the unk
 Words are encoded once for the corpus.  A word's substrings of at most the longest piece's
 length meet the piece table in one join, and the longest match of each place stays; only the
 walk along these matches is a small function.  Texts then get the ids of their words by
-positional inverted lists.  Very long words are cut into overlapping windows first, so a
+blocks of rows (``joins.resolve_words``).  Very long words are cut into overlapping windows first, so a
 word's substrings cost its length times the longest piece, however long it is.
 """
 from __future__ import annotations
@@ -57,7 +57,8 @@ def longest_matches(words: DataFrame, pieces: DataFrame) -> DataFrame:
         F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("part") - F.col("s")))).alias("length")) \
         .select("wid", "start", "length", (F.col("start") > 0).alias("inner"),
                 F.substring("part", F.col("s") + 1, F.col("length")).alias("piece"))
-    return subs.join(pieces.select("piece", "inner", "id"), ["piece", "inner"]) \
+    # merge joins: the planner takes exploded rows for as few as the words they come from
+    return subs.join(pieces.select("piece", "inner", "id").hint("merge"), ["piece", "inner"]) \
         .groupBy("wid", "start").agg(F.max("length").alias("length"), F.max_by("id", "length").alias("id"))
 
 
@@ -65,12 +66,12 @@ def word_ids(words: DataFrame, pieces: DataFrame) -> DataFrame:
     """(src, tgt): the piece ids of each word of a column ``word`` of distinct words."""
     whole = pieces.where(~F.col("inner")).select(F.col("piece").alias("word"), F.col("id").cast("bigint").alias("id"))
     # staged: the numbers of words must stay what they are
-    known = stage(words.join(whole, "word", "left").withColumn("wid", F.monotonically_increasing_id()), "subword-words")
+    known = stage(words.join(whole.hint("merge"), "word", "left").withColumn("wid", F.monotonically_increasing_id()), "subword-words")
     open_words = known.where("id IS NULL").select("wid", "word")
     hits = longest_matches(open_words, pieces).groupBy("wid").agg(
         F.collect_list(F.struct("start", "length", F.col("id").cast("bigint").alias("id"))).alias("hits"))
     unknown = F.array(F.lit(UNKNOWN_ID).cast("bigint"))
-    spelt = open_words.join(hits, "wid", "left").select("word", _walk("hits", F.length("word")).alias("ids"))
+    spelt = open_words.join(hits.hint("merge"), "wid", "left").select("word", _walk("hits", F.length("word")).alias("ids"))
     return known.where("id IS NOT NULL").select("word", F.array("id").alias("ids")).unionByName(spelt) \
         .select(F.col("word").alias("src"), F.coalesce("ids", unknown).alias("tgt"))
 
@@ -81,5 +82,5 @@ def subword_encode(df: DataFrame, pieces: DataFrame, key: str, token_array: str
     give no ids."""
     words = df.select(F.explode(F.array_distinct(token_array)).alias("word")).distinct()
     said = resolve_words(df, [key], token_array, stage(word_ids(words, pieces), "subword-ids"))
-    return df.select(key).join(said, key, "left").select(key, F.coalesce(
+    return df.select(key).join(said.hint("merge"), key, "left").select(key, F.coalesce(
         F.flatten(F.transform("_said", lambda w: w["tgt"])), F.array().cast("array<bigint>")).alias(out))
