@@ -209,7 +209,7 @@ SELECT a.word, a.target, m.end_text AS match_end, m.weight AS match_weight,
        CASE WHEN m.end_text IS NULL THEN coalesce(n.n, 0) END AS n_relations
 FROM asked a LEFT JOIN m ON a.word = m.word AND a.target = m.target LEFT JOIN n ON a.word = n.word""")
 def q_kg_word_substring(spark, sf):
-    """J6 on the growing word graph: candidates by rarest trigram."""
+    """J6 on the growing word graph, in blocks of edges."""
     edges = FS.stage(kg_words(spark, sf), "kg_words")
     pairs = FS.stage(_word_parts(spark, sf), "kg_word_parts")
     return G.substring_target(edges, pairs).select("word", "target", "match_end", "match_weight", "n_relations")

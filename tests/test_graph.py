@@ -115,3 +115,30 @@ def test_substrings_by_rarest_trigram(spark):
     hits = sum(t in e for w, t in asked if len(t) >= 3 for e in {e for a, _, e, _, _, _ in rows if a == w})
     assert hits <= G.substring_candidates(kg, long).count() < 0.5 * sum(
         len({e for a, _, e, _, _, _ in rows if a == w}) for w, t in asked if len(t) >= 3)
+
+
+def test_substring_targets_in_small_blocks(spark, monkeypatch):
+    """Hubs in several parts, null and NaN weights, an edge per language: the best of all."""
+    import random
+    monkeypatch.setattr(G, "HUB_PART", 7)
+    rng = random.Random(9)
+    rows = [(rng.choice(["hub", "hub", "x"]), "en", "".join(rng.choice("abé") for _ in range(5)), l, "r",
+             rng.choice([None, float("nan"), 1.0, 2.0, 3.0])) for _ in range(60) for l in ("en", "es")]
+    kg = spark.createDataFrame(rows, "start_text string, start_lang string, end_text string, end_lang string, relation string, weight double")
+    asked = [(w, t) for w in ("hub", "x", "none", None) for t in ("", "a", "bé", "aab", "aaaaaaa", None)]
+    pairs = spark.createDataFrame(asked, "word string, target string")
+    rank = lambda x: (0, 0.0) if x is None else (2, 0.0) if x != x else (1, -x)
+    got = {(r.word, r.target): r.match_end for r in G.substring_target(kg, pairs).collect()}
+    assert got == {(w, t): min(((rank(x), e) for a, _, e, _, _, x in rows if a == w and t is not None and t in e),
+                               default=(None, None))[1] for w, t in asked}
+
+
+def test_substring_targets_shuffle_no_runs_of_ends(spark):
+    import contextlib
+    import io
+    kg = spark.createDataFrame([("w", "en", "abc", "en", "r", 1.0)],
+                               "start_text string, start_lang string, end_text string, end_lang string, relation string, weight double")
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        G.substring_target(kg, spark.createDataFrame([("w", "ab")], "word string, target string")).explain()
+    assert "FlatMapCoGroupsInArrow" in out.getvalue() and "gram" not in out.getvalue()
