@@ -151,3 +151,21 @@ def test_best_match_in_blocks_equals_a_loop(spark, monkeypatch):
     for q, c, p in asked:
         hits = [(-sim(by[v], by[p]), e) for e, t, _, _, v in ents if c and t.strip().lower() == c.lower()]
         assert got[q] == ((min(hits)[1], -min(hits)[0]) if hits else (None, None))
+
+
+def test_best_match_makes_its_blocks_of_ids(spark, monkeypatch):
+    """Vectors join their rows after the blocks are made, and repeated vectors change nothing."""
+    from choicekit.operators import entities as E
+    seen, plain = [], E._in_blocks
+
+    def in_blocks(rows, *names):
+        seen.append(set(rows.columns))
+        return plain(rows, *names)
+    monkeypatch.setattr(E, "_in_blocks", in_blocks)
+    got = E.best_match(
+        spark.createDataFrame([(1, "a", 0), (2, "a", 1)], "query_id long, concept string, pivot_vec_id long"),
+        spark.createDataFrame([(7, "a", "x", None, 0), (8, "a", "y", None, 1)],
+                              "entity_id long, search_term string, label string, description string, vec_id long"),
+        spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])] * 2, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r.query_id, r.entity_id, r.sim) for r in got) == [(1, 7, 1.0), (2, 8, 1.0)]
+    assert len(seen) == 2 and not any(c in cols for cols in seen for c in ("vec", "norm", "embedding"))
