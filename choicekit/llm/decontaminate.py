@@ -51,7 +51,7 @@ STREAM = 16_000         # words of a document, or of several, compared at once
 
 
 def word_hashes(words) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def shingles(w: np.ndarray, k: int) -> np.ndarray:
@@ -66,6 +66,15 @@ def votes(h: np.ndarray) -> np.ndarray:
     return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
 
 
+def running_votes(h: np.ndarray, longest: int) -> np.ndarray:
+    """Running sums of the votes, a row of zeros first.  The sums wrap around; the difference
+    of two rows at most ``longest`` apart is exact, in the smallest type that holds it."""
+    kind = np.uint8 if longest < 1 << 8 else np.uint16 if longest < 1 << 16 else np.uint32
+    sums = np.zeros((len(h) + 1, 64), kind)
+    sums[1:] = votes(h)
+    return np.add.accumulate(sums, axis=0, dtype=kind, out=sums)
+
+
 def fingerprint(ones: np.ndarray, n: int) -> np.ndarray:
     """SimHash from the number of set votes of n shingles."""
     return np.packbits(ones > n // 2, axis=-1).view(np.uint64)[..., 0]
@@ -82,8 +91,7 @@ class Index:
 
     def build(self) -> Index:
         n = self.words - self.k + 1
-        sums = [np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(votes(s), axis=0, dtype=np.int32)])
-                for _, _, s in self.items]
+        sums = [running_votes(s, n) for _, _, s in self.items]
         prints = [fingerprint(s[n:] - s[:-n], n) for s in sums]
         self.prints = np.concatenate(prints)
         self.owner = np.repeat(np.arange(len(prints)), [len(x) for x in prints])
@@ -231,9 +239,7 @@ def matches(batch: pa.RecordBatch, classes: list[Index], keys: dict[int, Keys])
         for number, c in enumerate(classes):
             if c.k not in sums:
                 h = shingles(w, c.k)
-                kind = np.int32 if len(h) > 30_000 else np.int16
-                sums[c.k] = np.zeros((len(h) + 1, 64), kind)
-                np.cumsum(votes(h), axis=0, dtype=kind, out=sums[c.k][1:])
+                sums[c.k] = running_votes(h, longest)
                 place, row = keys[c.k].search(h)
                 g = np.searchsorted(first, place, side="right") - 1
                 for i, p, (cls, j, n, short) in zip(g.tolist(), place.tolist(), keys[c.k].item[row].tolist(),
