@@ -14,9 +14,9 @@ units already reach H + 1 provably has no partner and is gone.  The others buy
 the cheapest units still needed.  Documents then meet in groups around the node
 that shares most keys with them; groups are compared exactly, by tiles of
 bounded size, and what a tile returns is a spanning set of its links, never all
-pairs.  Where a bought key reaches from one group into another, the fewer documents on
-the two sides join the other group as guests, so that its tiles compare them too.  Tiles
-count on the words themselves.
+pairs.  Where a bought key reaches from one group into another, and the sizes on both
+sides allow a link, the fewer documents on the two sides join the other group as guests,
+so that its tiles compare them too.  Tiles count on the words themselves.
 
 Exact copies collapse first, by a 128-bit digest of the sorted shingle set.  The result
 is a class id per row; links themselves are not returned.
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,8 +71,7 @@ def segments(band: int) -> int:
 def shingle_sets(batch: pa.RecordBatch) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle fingerprints of each text of a batch."""
     t = tokens(batch.column("text"))
-    word = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in t.words.to_pylist()), np.uint64,
-                       len(t.words))
+    word = np.fromiter(map(xxhash.xxh3_64_intdigest, t.words.to_pylist()), np.uint64, len(t.words))
     w = word[t.codes]
     n = len(w)
     h = np.zeros(max(0, n - SHINGLE + 1), np.uint64)
@@ -81,7 +81,11 @@ def shingle_sets(batch: pa.RecordBatch) -> list[np.ndarray]:
     for i in range(batch.num_rows):
         a, b = t.offsets[i], t.offsets[i + 1]
         if b - a >= SHINGLE:
-            out.append(np.unique(h[a:b - SHINGLE + 1]))
+            s = np.sort(h[a:b - SHINGLE + 1])
+            new = np.empty(len(s), bool)
+            new[0] = True
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            out.append(s[new])
         elif b > a:
             one = np.array([(b - a) << 40], np.uint64)
             for j in range(a, b):
@@ -105,23 +109,39 @@ def _node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(two[:, 0]), pa.array(two[:, 1])], ["doc_id", "n", "node", "more"])
 
 
+SIZE_STEP = 1.02
+SIZE_SPAN = 12          # partners differ by 5 / 4 at the most: fewer than 11.27 steps, 12 classes
+
+
+def size_class(n: int) -> int:
+    """Class of a set size: two sets that link are at most SIZE_SPAN classes apart."""
+    return int(np.log(n) / np.log(SIZE_STEP))
+
+
+def _band_parts(band: int) -> tuple[int, np.uint64, np.ndarray, np.ndarray]:
+    """Segments of a band, its salt, and each segment's place and part of the tag."""
+    m = segments(band)
+    salt = mix(np.array([band * 2654435761 + 977], np.uint64))[0]
+    number = np.arange(m, dtype=np.int64)
+    return m, salt, mix(number.view(np.uint64) + salt), (number << 3) | (number % DOUBLE_EVERY == 0)
+
+
+_small_band_parts = lru_cache(64)(_band_parts)      # of sets below a million: some MB in all
+
+
 def _own_keys(s: np.ndarray, hashed: np.ndarray, band: int, role: int, need: int,
               node: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and tags of one set in one band.  tag: missing units << 27 | segment << 3 |
-    role << 2 | deletion << 1 | the segment has a deletion neighbourhood."""
-    m = segments(band)
+    """Keys and tags of one set in one band.  tag: size class << 52 | missing units << 27 |
+    segment << 3 | role << 2 | deletion << 1 | the segment has a deletion neighbourhood."""
+    m, salt, place, number = (_small_band_parts if BANDS[band] < 1 << 20 else _band_parts)(band)
     doubles = -(-m // DOUBLE_EVERY)
     short = m + doubles - need              # units it can do without
-    salt = mix(np.array([band * 2654435761 + 977], np.uint64))[0]
     seg = ((hashed ^ salt) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % m
     total = np.zeros(m, np.uint64)
     np.add.at(total, seg, hashed)
-    place = mix(np.arange(m, dtype=np.uint64) + salt)
     key = mix(total ^ place)
-    number = np.arange(m, dtype=np.int64)
-    dbl = (number % DOUBLE_EVERY == 0).astype(np.int64)
-    base = (short << 27) | (role << 2)
-    tag = base | (number << 3) | dbl
+    base = (size_class(len(s)) << 52) | (short << 27) | (role << 2)
+    tag = base | number
     sub = seg % DOUBLE_EVERY == 0
     gone = mix((total[seg[sub]] - hashed[sub]) ^ place[seg[sub]])
     return np.concatenate([key, gone]), np.concatenate([tag, base | (seg[sub] << 3) | 3])
@@ -271,14 +291,23 @@ def allocate(costs: DataFrame) -> DataFrame:
 def guests(buys: DataFrame, index: DataFrame) -> DataFrame:
     """(center, node): what groups get from others.  Where buyers of one group reach index
     rows of another by a key, the side with fewer of them joins the other's group, whose
-    tiles then compare both; keys meet group by group, so no pair of documents is listed."""
-    b = buys.groupBy("key", "side", "center").agg(F.count("*").alias("nb"))
-    i = index.groupBy("key", "side", "home").agg(F.count("*").alias("ni"))
-    both = stage(b.join(i.hint("merge"), ["key", "side"]).where("center <> home"), "groups")
+    tiles then compare both; keys meet group by group, so no pair of documents is listed.
+    With size classes (column ``size``), groups and documents too small or too large for a
+    link with the other side stay where they are."""
+    if "size" not in buys.columns:
+        buys, index = buys.withColumn("size", F.lit(0)), index.withColumn("size", F.lit(0))
+    b = buys.groupBy("key", "side", "center").agg(
+        F.count("*").alias("nb"), F.min("size").alias("b_low"), F.max("size").alias("b_high"))
+    i = index.groupBy("key", "side", "home").agg(
+        F.count("*").alias("ni"), F.min("size").alias("i_low"), F.max("size").alias("i_high"))
+    both = stage(b.join(i.hint("merge"), ["key", "side"]).where(
+        f"center <> home AND i_low <= b_high + {SIZE_SPAN} AND b_low <= i_high + {SIZE_SPAN}"), "groups")
     way = both.groupBy("center", "home").agg((F.sum("ni") <= F.sum("nb")).alias("come"))
     both = stage(both.drop("nb", "ni").join(way.hint("merge"), ["center", "home"]), "groups")
-    come = index.join(both.where("come").hint("merge"), ["key", "side", "home"]).select("center", F.col("other").alias("node"))
-    go = buys.join(both.where("NOT come").hint("merge"), ["key", "side", "center"]).select(F.col("home").alias("center"), "node")
+    come = index.join(both.where("come").hint("merge"), ["key", "side", "home"]) \
+        .where(f"size BETWEEN b_low - {SIZE_SPAN} AND b_high + {SIZE_SPAN}").select("center", F.col("other").alias("node"))
+    go = buys.join(both.where("NOT come").hint("merge"), ["key", "side", "center"]) \
+        .where(f"size BETWEEN i_low - {SIZE_SPAN} AND i_high + {SIZE_SPAN}").select(F.col("home").alias("center"), "node")
     some = come.union(go).distinct()
     return some.union(some.select("center", F.col("center")).distinct())     # a group may be one document
 
@@ -336,7 +365,8 @@ def _with_components(docs: DataFrame) -> DataFrame:
         F.sum(F.when(gone, 1).otherwise(0)).over(key).alias("n_gone")) \
         .where("n_all > 1 AND n_own > 0") \
         .select("key", "node", "n_own", "n_gone",
-                F.shiftright("tag", 27).alias("short"),
+                F.shiftright("tag", 52).cast("int").alias("size"),
+                F.shiftright("tag", 27).bitwiseAND(F.lit((1 << 25) - 1)).alias("short"),
                 F.shiftright("tag", 3).bitwiseAND(F.lit((1 << 24) - 1)).alias("seg"),
                 F.shiftright(kind, 2).alias("role"),
                 F.shiftright(kind, 1).bitwiseAND(F.lit(1)).alias("gone"),
@@ -365,13 +395,13 @@ def _with_components(docs: DataFrame) -> DataFrame:
 
     # bought keys: who buys them, in which group, and the index rows they reach
     center = star.hint("merge")
-    bought = bought.join(shared.select("key", "node", "role", "seg", "gone", "n_gone").hint("merge"), ["node", "role", "seg"]) \
+    bought = bought.join(shared.select("key", "node", "role", "seg", "gone", "n_gone", "size").hint("merge"), ["node", "role", "seg"]) \
         .where("(unit = 1 AND gone = 0) OR (unit = 2 AND (gone = 1 OR n_gone > 0))")
     buys = stage(bought.join(center, ["node", "role"], "left").select(
-        "key", ((F.col("unit") == 2) & (F.col("gone") == 0)).cast("int").alias("side"), "node",
+        "key", ((F.col("unit") == 2) & (F.col("gone") == 0)).cast("int").alias("side"), "node", "size",
         F.coalesce("center", "node").alias("center")).distinct(), "buys")
     home = star.where("role = 0").select(F.col("node").alias("other"), F.col("center").alias("home")).hint("merge")
-    index = stage(shared.where("role = 0").select("key", F.col("gone").cast("int").alias("side"), F.col("node").alias("other"))
+    index = stage(shared.where("role = 0").select("key", F.col("gone").cast("int").alias("side"), F.col("node").alias("other"), "size")
                   .join(buys.select("key", "side").distinct().hint("merge"), ["key", "side"], "left_semi")
                   .join(home, "other", "left").withColumn("home", F.coalesce("home", "other")), "index")
     member = stage(member.union(guests(buys, index)).distinct(), "member")
