@@ -14,7 +14,9 @@ units already reach H + 1 provably has no partner and is gone.  The others buy
 the cheapest units still needed.  Documents then meet in groups around the node
 that shares most keys with them; groups are compared exactly, by tiles of
 bounded size, and what a tile returns is a spanning set of its links, never all
-pairs.  Where a bought key reaches from one group into another, and the sizes on both
+pairs.  Sketches come first: a byte per segment of a set, so that sets that link
+cannot differ in too many bytes; the texts of a tile are sent for those documents only
+whose sketch allows a link within the tile.  Where a bought key reaches from one group into another, and the sizes on both
 sides allow a link, the fewer documents on the two sides join the other group as guests,
 so that its tiles compare them too.  Tiles count on the words themselves.
 
@@ -99,6 +101,84 @@ def shingle_sets(batch: pa.RecordBatch) -> list[np.ndarray]:
 ROWS = 128                 # rows of a batch taken up at once where pairs are compared
 
 
+SKETCH_LEAST = 16       # segments of the smallest sketch
+
+
+def sketch_size(n: int) -> int:
+    """Segments of a sketch: the next power of two from 0.3 times the set size.  Of sets that
+    link, the larger has as many segments as the smaller or twice as many, and the smaller
+    more than the (r + s) // 9 elements they may differ by, a quarter of its size."""
+    m = SKETCH_LEAST
+    while 10 * m < 3 * n:
+        m *= 2
+    return m
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """A byte per segment, the sum of a byte of each shingle in it: sets that differ by d
+    shingles have sketches that differ in d bytes at the most.  Its halves add up to the
+    sketch of half as many segments."""
+    m = sketch_size(len(s))
+    at = (s & np.uint64(m - 1)).astype(np.int64)
+    return np.bincount(at, (s >> np.uint64(56)).astype(np.float64), m).astype(np.int64).astype(np.uint8).tobytes()
+
+
+def may_link(n: np.ndarray, sketches: list[bytes], first: int | None) -> np.ndarray:
+    """Documents of a tile whose size and sketch allow a link with another one (``first``: as
+    in ``tile_edges``).  No link is lost; the words decide."""
+    out = np.zeros(len(n), bool)
+    side = np.arange(len(n)) >= (first or 0)
+    m_of = np.array([len(x) for x in sketches], np.int64)
+    for m in np.unique(m_of).tolist():
+        small, large = (np.flatnonzero(m_of == x) for x in (m, 2 * m))
+        at = np.concatenate([small[np.argsort(n[small], kind="stable")], large[np.argsort(n[large], kind="stable")]])
+        x = [np.frombuffer(sketches[i], np.uint8) for i in at]
+        x = np.stack([v if len(v) == m else v[:m] + v[m:] for v in x])
+        size = n[at]
+        for i in range(len(small)):
+            end = int(np.searchsorted(size, size[i] * 5 // 4, side="right"))
+            j = at[i + 1:end]
+            if first is not None:
+                other = np.flatnonzero(side[j] != side[at[i]])
+                j, y = j[other], x[i + 1:end][other]
+            else:
+                y = x[i + 1:end]
+            if len(j):
+                same = np.zeros(len(j), np.int64)
+                for c in range(0, m, 1 << 12):           # bounded memory whatever the size
+                    equal = np.ascontiguousarray(y[:, c:c + (1 << 12)] == x[i, c:c + (1 << 12)])
+                    same += np.bitwise_count(equal.view(np.uint64)).sum(axis=1, dtype=np.int64)
+                j = j[same >= m - (n[j] + size[i]) // 9]
+                out[j] = True
+                out[at[i]] |= len(j) > 0
+    return out
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (tile, side, id, n, sketch) sorted by tile and side; returns those that may link."""
+    def done(rows):
+        a = sum(r[1] == 0 for r in rows)
+        keep = may_link(np.array([r[3] for r in rows], np.int64), [r[4] for r in rows], a if a < len(rows) else None)
+        return [rows[i][:3] for i in np.flatnonzero(keep).tolist()]
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()),
+                                           pa.array([r[2] for r in out], pa.int64())], ["tile", "side", "id"])
+
+    rows: list = []
+    for b in _few(batches):
+        out = []
+        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if rows and r[0] != rows[-1][0]:
+                out += done(rows)
+                rows = []
+            rows.append(r)
+        yield batch(out)
+    if rows:
+        yield batch(done(rows))
+    give_back()
+
+
 def _node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches):
         sets = shingle_sets(b)
@@ -106,7 +186,8 @@ def _node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-             pa.array(two[:, 0]), pa.array(two[:, 1])], ["doc_id", "n", "node", "more"])
+             pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array([sketch(s) for s in sets], pa.binary())],
+            ["doc_id", "n", "node", "more", "sketch"])
 
 
 SIZE_STEP = 1.02
@@ -169,8 +250,8 @@ def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 nodes.append(np.full(len(k), node, np.int64))
         if keys:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)),
-                 pa.array(np.concatenate(tags))], ["key", "node", "tag"])
+                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(tags)),
+                 pa.array(np.concatenate(nodes))], ["key", "tag", "node"])
 
 
 def word_shingles(text: str | None) -> set:
@@ -346,7 +427,7 @@ def with_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _with_components(docs: DataFrame) -> DataFrame:
-    base = stage(docs.mapInArrow(_node_rows, "doc_id long, n long, node long, more long"), "nodes")
+    base = stage(docs.mapInArrow(_node_rows, "doc_id long, n long, node long, more long, sketch binary"), "nodes")
     full = base.where("n > 0")
     reps = full.groupBy("node", "more").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     # copies beyond each node's representative produce no signatures
@@ -355,7 +436,8 @@ def _with_components(docs: DataFrame) -> DataFrame:
     copies = stage(copies, "copies")
     maybe, never = split_by_ids(docs, copies, "doc_id")
     single = never.union(maybe.join(copies, "doc_id", "left_anti"))
-    rows = single.mapInArrow(_signature_rows, "key long, node long, tag long")
+    # in this order what the rows of a document have in common is one run of bytes
+    rows = single.mapInArrow(_signature_rows, "key long, tag long, node long")
     key = W.partitionBy("key")
     kind = F.col("tag").bitwiseAND(F.lit(7))                       # role, deletion, double
     own, gone = kind.isin(0, 1), kind == 3
@@ -408,16 +490,20 @@ def _with_components(docs: DataFrame) -> DataFrame:
     wanted = member.select("node").distinct() \
         .join(reps.select("node", "rep").hint("merge"), "node").select("node", F.col("rep").alias("doc_id"))
     wanted = stage(wanted, "wanted")
-    maybe, _ = split_by_ids(docs, wanted, "doc_id")
-    text = stage(maybe.dropDuplicates(["doc_id"]).join(wanted.hint("merge"), "doc_id"), "texts")
-
     blocks = member.groupBy("center").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("nb"))
     block = F.pmod(F.xxhash64("node", F.lit(7)), F.col("nb")).cast("int")
     tiles = member.join(blocks.hint("merge"), "center").withColumn("i", block) \
         .select("center", "node", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j")) \
         .select(F.xxhash64("center", F.least("i", "j"), F.greatest("i", "j")).alias("tile"),
                 F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"), "node")
-    tiled = tiles.join(text.hint("merge"), "node").select("tile", "side", F.col("doc_id").alias("id"), "text") \
+    drawn, _ = split_by_ids(base.select("doc_id", "n", "sketch"), wanted, "doc_id")
+    drawn = drawn.join(wanted.hint("merge"), "doc_id")
+    drawn = tiles.join(drawn.hint("merge"), "node").select("tile", "side", F.col("doc_id").alias("id"), "n", "sketch") \
+        .repartition(F.col("tile")).sortWithinPartitions("tile", "side", "id")
+    near = stage(drawn.mapInArrow(_near, "tile long, side int, id long"), "near")
+    maybe, _ = split_by_ids(docs, near.select(F.col("id").alias("doc_id")).distinct(), "doc_id")
+    tiled = maybe.join(near.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id") \
+        .select("tile", "side", F.col("doc_id").alias("id"), "text") \
         .repartition(F.col("tile")).sortWithinPartitions("tile", "side", "id")
     links = stage(tiled.mapInArrow(_tiles, "a long, b long"), "links")
 
