@@ -48,6 +48,8 @@ BLOCK_RADII = (2, 2, 2, 2)
 ITEMS = 4_096
 CLASS_STEP = 1.1
 STREAM = 16_000         # words of a document, or of several, compared at once
+RUN = 64                # running sums are taken inside blocks of so many rows first
+WINDOWS = 1_024         # windows whose votes are counted at once: they stay in the processor's cache
 
 
 def word_hashes(words) -> np.ndarray:
@@ -70,14 +72,29 @@ def running_votes(h: np.ndarray, longest: int) -> np.ndarray:
     """Running sums of the votes, a row of zeros first.  The sums wrap around; the difference
     of two rows at most ``longest`` apart is exact, in the smallest type that holds it."""
     kind = np.uint8 if longest < 1 << 8 else np.uint16 if longest < 1 << 16 else np.uint32
-    sums = np.zeros((len(h) + 1, 64), kind)
-    sums[1:] = votes(h)
-    return np.add.accumulate(sums, axis=0, dtype=kind, out=sums)
+    blocks = np.zeros((len(h) // RUN + 1, RUN, 64), kind)
+    sums = blocks.reshape(-1, 64)
+    sums[1:len(h) + 1] = votes(h)
+    for j in range(1, RUN):              # inside all blocks at once, then from block to block
+        blocks[:, j] += blocks[:, j - 1]
+    blocks[1:] += np.add.accumulate(blocks[:-1, -1], axis=0, dtype=kind)[:, None]
+    return sums[:len(h) + 1]
 
 
 def fingerprint(ones: np.ndarray, n: int) -> np.ndarray:
     """SimHash from the number of set votes of n shingles."""
-    return np.packbits(ones > n // 2, axis=-1).view(np.uint64)[..., 0]
+    return np.packbits(ones > n // 2).view(np.uint64).reshape(ones.shape[:-1])
+
+
+def window_prints(sums: np.ndarray, n: int, step: int) -> np.ndarray:
+    """Fingerprints of the windows of n shingles, ``step`` apart, a few at a time."""
+    high, low = sums[n::step], sums[:-n:step]
+    out = np.empty(len(high), np.uint64)
+    ones = np.empty((min(WINDOWS, len(high)), 64), sums.dtype)
+    for i in range(0, len(high), WINDOWS):
+        part = ones[:len(high) - i]
+        out[i:i + WINDOWS] = fingerprint(np.subtract(high[i:i + WINDOWS], low[i:i + WINDOWS], out=part), n)
+    return out
 
 
 class Index:
@@ -110,13 +127,13 @@ class Index:
         out = []
         blocks = prints.view(np.uint16).reshape(-1, len(BLOCK_RADII))
         for b, (some, count, start, item) in enumerate(self.tables):
-            v = blocks[:, b]
-            at = np.flatnonzero(some[v])
-            v = v[at]
-            n = count[v]
+            # a table has a place for every value of a block: taking needs no check of bounds
+            at = np.flatnonzero(some.take(blocks[:, b], mode="wrap"))
+            v = blocks[at, b]
+            n = count.take(v, mode="wrap")
             w = np.repeat(at, n)
             end = np.cumsum(n)
-            i = item[np.repeat(start[v] - end + n, n) + np.arange(end[-1] if len(end) else 0)]
+            i = item[np.repeat(start.take(v, mode="wrap") - end + n, n) + np.arange(end[-1] if len(end) else 0)]
             far = np.bitwise_count(prints[w] ^ self.prints[i])
             close = far <= RADIUS
             if close.any():
@@ -252,7 +269,7 @@ def matches(batch: pa.RecordBatch, classes: list[Index], keys: dict[int, Keys])
             step, slack = max(1, min(3, c.words // 12)), 4 + c.words // 8
             # windows over document borders are looked up too: verification reads one document
             if len(s) > n:
-                far = c.search(fingerprint(s[n::step] - s[:-n:step], n))
+                far = c.search(window_prints(s, n, step))
                 for i, j, _ in far.tolist():
                     g = int(np.searchsorted(first, i * step + c.words // 2, side="right")) - 1
                     d, a, _ = group[g]
