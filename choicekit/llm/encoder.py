@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_PIECES = 600_000
+CACHED_PIECES = 450_000
 CACHED_BYTES = 48 << 20    # and the ids and characters of them
 WHOLE = 1 << 18            # characters of uncut texts (or one text) encoded in a call
 LATIN_END = "\u0250"
@@ -91,6 +91,9 @@ class Encoder:
             else:
                 ids += [t.id for t in tokenize(r)]
             size[i] = len(ids) - n
+        self._store(new, ids, size)
+
+    def _store(self, new: list[str], ids: list[int] | np.ndarray, size: np.ndarray) -> None:
         k = len(self.slot)
         while k + len(new) > len(self.start):
             self.start, self.length = (np.resize(a, 2 * k + len(new)) for a in (self.start, self.length))
@@ -103,6 +106,21 @@ class Encoder:
         self.chars += sum(map(len, new))
         self.slot.update(zip(new, range(k, k + len(new)), strict=True))
 
+    def _ids(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of these pieces in a row, where those of each piece end)."""
+        size = self.length[slot]
+        end = np.cumsum(size)
+        return self.flat[np.repeat(self.start[slot] - end + size, size) +
+                         np.arange(end[-1] if len(end) else 0)], end
+
+    def _keep(self, words: list[str]) -> None:
+        """Forget all pieces but these, so that frequent ones are not encoded anew."""
+        known = [w for w in words if w in self.slot]
+        slot = np.fromiter(map(self.slot.__getitem__, known), np.int64, len(known))
+        ids, size = self._ids(slot)[0], self.length[slot]
+        self.forget()
+        self._store(known, ids, size)
+
     def encode(self, text: pa.Array) -> list[np.ndarray]:
         """Ids of each text (null: empty)."""
         text = pc.fill_null(text, "")
@@ -119,14 +137,12 @@ class Encoder:
             words = enc.dictionary.to_pylist()
             if len(self.slot) + len(words) > CACHED_PIECES or \
                     self.chars + self.flat.itemsize * self.used > CACHED_BYTES:
-                self.forget()
+                self._keep(words)
             if new := [w for w in words if w not in self.slot]:
                 self._learn(new)
             slot = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))[
                 enc.indices.to_numpy(zero_copy_only=False)]
-            size = self.length[slot]
-            end = np.cumsum(size)
-            ids = self.flat[np.repeat(self.start[slot] - end + size, size) + np.arange(end[-1] if len(end) else 0)]
+            ids, end = self._ids(slot)
             bound = np.concatenate([[0], end])[off]
             for k, i in enumerate(easy):
                 out[i] = ids[bound[k]:bound[k + 1]]
