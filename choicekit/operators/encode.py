@@ -14,12 +14,16 @@
 """
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..functions.columns import compute_once
 from ..session import ensure_checkpoint_dir
-from .joins import resolve_words
+from .joins import by_key, look_up, offsets
 
 PAD_ID = 0
 UNKNOWN_ID = 1
@@ -54,16 +58,18 @@ def build_vocabulary(tokens: DataFrame, token_array: str = "tokens") -> DataFram
     return ranked.select("token", "count", (F.col("_i") + FIRST_ID).alias("id"))
 
 
+def _ids(n: np.ndarray, words: pa.Array, ids: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(offsets(n), pc.fill_null(ids, UNKNOWN_ID))
+
+
 def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, token_array: str = "tokens",
                   out: str = "ids") -> DataFrame:
     """Replace every token by its id (unknown -> 1), keeping token order; no
     tokens or null give no ids.  ``key`` identifies a row; ``df`` is read more than
     once, so stage tokens that cost work."""
-    said = resolve_words(df, [key], token_array, vocab.select(
-        F.col("token").alias("src"), F.col("id").cast("bigint").alias("tgt")))
-    ids = F.transform("_said", lambda t: F.coalesce(t["tgt"], F.lit(UNKNOWN_ID).cast("bigint")))
-    return df.select(key).join(said.hint("merge"), key, "left").select(
-        key, F.coalesce(ids, F.array().cast("array<bigint>")).alias(out))
+    said = look_up(df, [key], token_array, vocab.select(
+        F.col("token").alias("src"), F.col("id").cast("bigint").alias("tgt")), by_key(_ids, True), ArrayType(LongType()))
+    return said.select(key, F.coalesce("_said", F.array().cast("array<bigint>")).alias(out))
 
 
 def pad_truncate(arr, length: int, pad: int = PAD_ID) -> Column:

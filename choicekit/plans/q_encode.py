@@ -9,7 +9,7 @@ from ..functions.columns import compute_once
 from ..operators import encode as N
 from ..operators import subword as SW
 from ..sources.files import stage
-from ..sources.tables import documents
+from ..sources.tables import documents, texts
 from . import sqltext as S
 from .fixtures import SPLIT_SQL, length_ids, split_of, token_rows, vector_groups, with_ctes, words_of
 from .registry import register
@@ -30,7 +30,7 @@ FROM tok LEFT JOIN enc ON tok.doc_id = enc.doc_id""")
 def q_vocab_encode(spark, sf):
     """Vocabulary learnt on the train split of all languages, applied to all
     documents; words never seen in training encode as the unknown id."""
-    docs = stage(documents(spark, sf, "doc_id", "text").select(
+    docs = stage(texts(spark, sf, "doc_id", "text").select(
         "doc_id", tx.word_tokens(tx.preprocess_text("text")).alias("tokens")), "tokens")
     vocab = N.build_vocabulary(docs.where(split_of("doc_id") == "train"))
     enc = N.encode_tokens(docs, vocab, "doc_id")
@@ -67,7 +67,7 @@ FROM tok LEFT JOIN enc ON tok.doc_id = enc.doc_id""")
 def q_subword_encode(spark, sf):
     """Longest match: the given pieces are the words of the train split that occur
     20 times or more and have at most 16 characters, and its single characters."""
-    docs = stage(documents(spark, sf, "doc_id", "text").select(
+    docs = stage(texts(spark, sf, "doc_id", "text").select(
         "doc_id", tx.word_tokens(tx.preprocess_text("text")).alias("tokens")), "tokens")
     train = docs.where(split_of("doc_id") == "train").select(F.explode("tokens").alias("word")) \
         .groupBy("word").agg(F.count("*").alias("n"))
