@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.columns import compute_once
-from ..sources.tables import documents, table
+from ..sources.tables import documents, table, texts
 
 SPLIT_SQL = ("CASE WHEN {k} % 10 < 8 THEN 'train' WHEN {k} % 10 = 8 "
              "THEN 'validation' ELSE 'test' END")
@@ -31,7 +31,7 @@ BLOCKS = 1 << 20      # example_id = doc_id * BLOCKS + number of the item in its
 
 
 def mc_items(spark: SparkSession, sf: str) -> DataFrame:
-    return mc_items_from(documents(spark, sf, "doc_id", "text"))
+    return mc_items_from(texts(spark, sf, "doc_id", "text"))
 
 
 def _sentences(documents: DataFrame) -> DataFrame:
